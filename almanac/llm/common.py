@@ -63,9 +63,6 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         yield batch.slice(start)
 
 
-def append(batch: pa.RecordBatch, arrays: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=schema)
-
 
 def ranged(df: DataFrame, keys: list[str], pid: str) -> DataFrame:
     """``df`` range-partitioned by ``keys`` with the number of its partition in ``pid``; rows with equal keys share one.
@@ -73,3 +70,24 @@ def ranged(df: DataFrame, keys: list[str], pid: str) -> DataFrame:
     The result is cut, so that the bounds, which Spark samples anew for every evaluation, hold for all that is read from it."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartitionByRange(width, *[F.asc_nulls_first(k) for k in keys]).withColumn(pid, F.spark_partition_id()))
+
+
+def widen(docs: DataFrame, column: str, kind: str, factory, limit: int = 8 << 20) -> DataFrame:
+    """``docs`` (text and any others) with one more column. ``factory()`` is called once in each task and gives a function
+    from a list of texts (null as "") to an Arrow array or list of values of Spark type ``kind``; what it remembers lives as
+    long as its task. Rows stay where they are: there is no shuffle, and a lost task is run again alone."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    out = _parse_datatype_string(kind)
+    arrow = to_arrow_type(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = factory()
+        for batch in batches:
+            for part in pieces(batch, "text", limit):
+                made = compute([t or "" for t in part.column("text").to_pylist()])
+                made = made if isinstance(made, pa.Array) else pa.array(made, arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, made.cast(arrow)], [*part.schema.names, column])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, out)]))

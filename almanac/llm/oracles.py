@@ -56,4 +56,58 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 FROM summed
 """
 
-SQL = {"op9_chat_format": OP9, "op10_mix": OP10}
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+win AS (
+  SELECT r, i, word, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (
+  SELECT r, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY r, word, w2, w3) >= 2 AS t, length(word) AS chars FROM win),
+covered AS (
+  SELECT r, chars, t OR coalesce(lag(t, 1) OVER o, false) OR coalesce(lag(t, 2) OVER o, false) AS c FROM twice WINDOW o AS (PARTITION BY r ORDER BY i)),
+words AS (SELECT r, count(*) AS n_words, sum(chars) AS word_chars, count(*) FILTER (WHERE c) AS n_repeat_words FROM covered GROUP BY r),
+lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+s AS (
+  SELECT d.doc_id, d.lang, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper
+  FROM d LEFT JOIN words USING (r) LEFT JOIN lines USING (r)),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END, CASE WHEN word_chars > 0 THEN 1000 * n_upper // word_chars ELSE 0 END,
+     CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END] AS scores
+  FROM s),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (
+  SELECT lang, rule, scores[rule] AS score, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad
+  FROM b JOIN q USING (doc_id), range(1, 5) t(rule) WHERE NOT base_failed GROUP BY 1, 2, 3),
+tried AS (
+  SELECT *, sum(good) OVER g AS n_good, sum(bad) OVER g AS n_bad, sum(good) OVER u - good AS k, sum(bad) OVER u - bad AS j, lag(score) OVER u AS above,
+    (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM held)) AS tests
+  FROM held WINDOW g AS (PARTITION BY lang, rule), u AS (PARTITION BY lang, rule ORDER BY score DESC)),
+gains AS (
+  SELECT *, j * n_good - 10 * k * n_bad AS gain,
+    list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln(0.0125) + (n_good - i) * ln(1 - 0.0125)))) AS tail
+  FROM tried WHERE above IS NOT NULL AND n_good > 0),
+best AS (SELECT *, max(gain) OVER (PARTITION BY lang, rule) AS top FROM gains WHERE gain > 0 AND tail <= 0.05 / tests),
+cutoffs AS (SELECT lang, rule, (min(score) + max(above) - 1) // 2 AS cutoff FROM best WHERE gain = top GROUP BY 1, 2),
+numbered AS (SELECT * FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cutoffs c WHERE numbered.lang IS NOT DISTINCT FROM c.lang AND numbered.scores[c.rule] > c.cutoff) AS kept
+FROM numbered
+"""
+
+OP2 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT ON (vec_id) * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+SQL = {"op2_bit_sliced_top_k": OP2, "op3_quality_rules": OP3, "op9_chat_format": OP9, "op10_mix": OP10}

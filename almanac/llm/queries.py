@@ -5,15 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import chat, mixing, simhash
-from almanac.llm.common import read
+from almanac.llm import byte_bpe, chat, mixing, piece_counts, quality, simhash, topk, toxicity
+from almanac.llm.common import cut, read
 from almanac.llm.oracles import SQL
 
 
+def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", topk.quantise(F.col("embedding")).alias("q"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide, name = quality.measured(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return quality.judge(cut(wide.drop("text")), name, read(spark, sf_dir, "labels")).select("doc_id", f"{name}.*").drop("failed_rules")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, name = byte_bpe.digest(read(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe.for_session(spark))
+    return docs.select("doc_id", f"{name}.*")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    tagged, name = toxicity.tag(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+    return tagged.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), f"{name}.score", f"{name}.predicted", F.size(f"{name}.spans").alias("n_spans"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents")).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op8_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = piece_counts.load(public_tokenizers.path("piece_bpe_32k.model"))
+    docs, name = piece_counts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return docs.select("doc_id", f"{name}.*")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -26,5 +55,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "mix.*")
 
 
-QUERIES = {"op7_simhash_groups": op7_simhash_groups, "op9_chat_format": op9_chat_format, "op10_mix": op10_mix}
+QUERIES = {
+    q.__name__: q
+    for q in (op2_bit_sliced_top_k, op3_quality_rules, op4_byte_bpe, op5_toxicity, op7_simhash_groups, op8_piece_counts, op9_chat_format, op10_mix)
+}
 ORACLES = SQL
