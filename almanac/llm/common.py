@@ -18,13 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs a read and not a recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder is made and set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="almanac-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that a lost executor costs a read and not a recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -72,8 +76,8 @@ def ranged(df: DataFrame, keys: list[str], pid: str) -> DataFrame:
     return cut(df.repartitionByRange(width, *[F.asc_nulls_first(k) for k in keys]).withColumn(pid, F.spark_partition_id()))
 
 
-def widen(docs: DataFrame, column: str, kind: str, factory, limit: int = 8 << 20) -> DataFrame:
-    """``docs`` (text and any others) with one more column. ``factory()`` is called once in each task and gives a function
+def widen(docs: DataFrame, column: str, kind: str, factory, limit: int = 8 << 20, column_read: str = "text") -> DataFrame:
+    """``docs`` (``column_read`` and any others) with one more column. ``factory()`` is called once in each task and gives a function
     from a list of texts (null as "") to an Arrow array or list of values of Spark type ``kind``; what it remembers lives as
     long as its task. Rows stay where they are: there is no shuffle, and a lost task is run again alone."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -85,8 +89,8 @@ def widen(docs: DataFrame, column: str, kind: str, factory, limit: int = 8 << 20
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = factory()
         for batch in batches:
-            for part in pieces(batch, "text", limit):
-                made = compute([t or "" for t in part.column("text").to_pylist()])
+            for part in pieces(batch, column_read, limit):
+                made = compute([t or "" for t in part.column(column_read).to_pylist()])
                 made = made if isinstance(made, pa.Array) else pa.array(made, arrow)
                 yield pa.RecordBatch.from_arrays([*part.columns, made.cast(arrow)], [*part.schema.names, column])
 

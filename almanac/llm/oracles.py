@@ -110,4 +110,38 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-SQL = {"op2_bit_sliced_top_k": OP2, "op3_quality_rules": OP3, "op9_chat_format": OP9, "op10_mix": OP10}
+OP6 = r"""
+WITH base AS (
+  SELECT page_id AS p, url, coalesce(html, '') AS h, regexp_replace(url, '#.*$', '') || '#again' AS spelt,
+    to_timestamp(1700000000 + page_id * 7919 % 2592000) AS t FROM pages),
+records AS (
+  SELECT p * 4 AS id, p, true AS whole, url, t, h AS body, 0 AS v FROM base
+  UNION ALL SELECT p * 4 + 1, p, true, spelt, t + INTERVAL 10 DAY, h || '<!-- 2 -->', 1 FROM base WHERE p % 3 = 0
+  UNION ALL SELECT p * 4 + 2, p, false, spelt, t + (p % 5 * 4 - 1) * INTERVAL 1 DAY, h, 0 FROM base),
+parts AS (
+  SELECT *, regexp_extract(url, '^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['host', 'path', 'query']) AS u FROM records),
+canon AS (
+  SELECT *, regexp_replace(regexp_replace(lower(u.host), ':(80|443)?$', ''), '^www\.', '') AS host,
+    array_to_string(list_sort(list_filter(string_split(u.query, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query FROM parts),
+keyed AS (
+  SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(u.path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE trim(url) END AS canonical,
+    '"' || substr(md5(body), 1, 16) || '"' AS tag FROM canon),
+linked AS (
+  SELECT r.id AS record_id, r.canonical, r.p, r.tag AS own_tag, s.id AS source_id, s.p AS sp, s.v AS sv, s.tag, s.body
+  FROM (SELECT * FROM keyed WHERE NOT whole) r LEFT JOIN (SELECT * FROM keyed WHERE whole) s
+    ON s.canonical = r.canonical AND s.t < r.t
+  QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY s.t DESC NULLS LAST, s.id DESC) = 1),
+judged AS (
+  SELECT *, CASE WHEN source_id IS NULL THEN 'no_earlier'
+    WHEN p % 4 <> 2 THEN CASE WHEN p % 4 < 2 AND own_tag = tag THEN 'merged' ELSE 'mismatch' END
+    WHEN p % 3 <> 1 THEN CASE WHEN p % 97 + p % 2 = sp % 97 + sv THEN 'merged' ELSE 'mismatch' END
+    ELSE 'unverified' END AS outcome FROM linked)
+SELECT record_id, canonical, outcome, source_id,
+  CASE WHEN outcome = 'merged' THEN 'cache-control: no-cache' || chr(10) || 'content-length: ' || CAST(strlen(body) AS VARCHAR) || chr(10) || 'content-type: text/html' || chr(10)
+    || 'etag: ' || CASE p % 4 WHEN 1 THEN 'W/' || own_tag ELSE tag END || chr(10)
+    || 'last-modified: ' || CAST(sp % 97 + sv AS VARCHAR) || chr(10) || 'x-seen: ' || CAST(p % 10 AS VARCHAR) END AS headers,
+  CASE WHEN outcome = 'merged' THEN sha256(body) END AS payload_sha256
+FROM judged
+"""
+
+SQL = {"op6_warc_revisits": OP6, "op2_bit_sliced_top_k": OP2, "op3_quality_rules": OP3, "op9_chat_format": OP9, "op10_mix": OP10}

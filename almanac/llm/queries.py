@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import byte_bpe, chat, mixing, piece_counts, quality, simhash, topk, toxicity
+from almanac.llm import byte_bpe, chat, html_text, mixing, piece_counts, quality, simhash, topk, toxicity, warc
 from almanac.llm.common import cut, read
 from almanac.llm.oracles import SQL
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, name = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))
+
+
 def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", topk.quantise(F.col("embedding")).alias("q"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -31,6 +36,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), f"{name}.score", f"{name}.predicted", F.size(f"{name}.spans").alias("n_spans"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select("record_id", "canonical", "outcome", "source_id", lines.alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents")).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
@@ -57,6 +68,17 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op2_bit_sliced_top_k, op3_quality_rules, op4_byte_bpe, op5_toxicity, op7_simhash_groups, op8_piece_counts, op9_chat_format, op10_mix)
+    for q in (
+        op1_html_text,
+        op2_bit_sliced_top_k,
+        op3_quality_rules,
+        op4_byte_bpe,
+        op5_toxicity,
+        op6_warc_revisits,
+        op7_simhash_groups,
+        op8_piece_counts,
+        op9_chat_format,
+        op10_mix,
+    )
 }
 ORACLES = SQL
