@@ -13,6 +13,8 @@ DEAL = rf"(?i)\bspecials?\b|drink\s*deals?|\bdaily\b|industry\s*night|happy\s*hr
 PRICE = r"\$\s?\d"
 PRICES = r"\$\s?\d+(?:\.\d{2})?"
 DEAL_WORDS = r"(?i)\bspecials?\b|drink\s*deals?|\$\d+\s*off|\d+%\s*off|half[-\s]?off|half[-\s]?price|1/2[-\s]?(?:off|price)|\bbogo\b|two[-\s]?for[-\s]?one|industry\s*night"
+MENU = r"(?i)\$\s?\d|happy[ -]?hour|\b(?:mon|tue|wed|thu|fri|sat|sun|daily|weekday|weekend)\b|\b\d{1,2}(?::\d{2})?\s?(?:a\.?m\.?|p\.?m\.?|am|pm)\b|\b(?:menu|special|appetizer|cocktail|martini|draft|draught|wine|beer|spirit|well drink|pint|glass|bottle)\b"
+PARKED_MARKERS = ("is for sale", "buy this domain", "domain for sale", "this domain is parked", "sedoparking", "bodis.com", "domain is currently available", "godaddy.com/domainsearch")
 URLS = r"(?i)https?://\S+"
 MENU_DOC = r"(?i)happ(?:y|ier)[-_ ]?hours?|social[-_ ]?hour|power[-_ ]?hour|spritz[-_ ]?hours?|sundowners?|\bhh\b|special|\bmenu\b|\bdrinks?\b|cocktail|\bbar\b|\bwine\b|\bbeer\b|aperitivo|vermut|apericena|hora[-_ ]?(?:feliz|del[-_ ]?vermut)|prix[-_ ]?fixe|tasting"
 ALCOHOL = "|".join((
@@ -104,6 +106,10 @@ def squatter(html: Column) -> Column:
     return F.coalesce(F.lower(html).rlike("|".join(SQUATTER)), F.lit(False))
 
 
+def parked_html(html: Column) -> Column:
+    return F.coalesce(F.lower(html).rlike("|".join(x.replace(".", r"\.") for x in PARKED_MARKERS)), F.lit(False))
+
+
 def parked(text: Column) -> Column:
     return F.coalesce(text.rlike(PARKED), F.lit(False))
 

@@ -43,7 +43,16 @@ PARKING = (
 )
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "com.au", "net.au", "co.nz", "com.br", "co.jp", "com.mx")
 STATIC_PAGES = ("about", "faq", "for-restaurants", "submit", "styleguide", "admin", "api", "_next", "sitemap.xml", "robots.txt", "llms.txt", "manifest.webmanifest")
-GUESSES = ("/happy-hour", "/happyhour", "/happy-hours", "/specials", "/menu", "/menus", "/drinks", "/drink-menu", "/bar", "/cocktails", "/food-and-drink", "/events", "/about")
+GUESSES = (
+    "/happy-hour", "/happyhour", "/happy-hour-menu", "/menu/happy-hour", "/menus/happy-hour", "/specials", "/bar-menu", "/drink-menu", "/drinks", "/cocktails",
+    "/menu", "/menus", "/food-menu",
+)
+MORE_GUESSES = ("/vermut-hour", "/hora-feliz", "/aperitivo", "/apericena")
+MORE_GUESS_NAMES = r"(?i)spanish|mexican|latin|tapas|peruvian|argentin|cuban|spaniard|italian|trattoria|osteria|enoteca|cantina|taqueria|taco|vermut|aperitivo|apericena"
+ORDERING = (
+    "facebook.com", "instagram.com", "linktr.ee", "linktree", "doordash.com", "ubereats.com", "grubhub.com", "toasttab.com", "spoton.com", "orders.co",
+    "order.spoton.com", "mobile-webview", "square.site", "rebrand.ly",
+)
 
 
 def hostname(url: Column) -> Column:
@@ -196,10 +205,17 @@ def venue_path(state: Column, city: Column, slug: Column) -> Column:
     return F.concat(city_path(state, city), F.lit("/venue/"), slug)
 
 
-def guesses(url: Column) -> Column:
-    """Addresses on the same site that often hold what is looked for."""
+def guesses(url: Column, kind: Column) -> Column:
+    """Addresses on the same site that often hold what is looked for; more of them if name and types (``kind``) suggest it."""
     origin = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
-    return F.when(origin != "", F.transform(F.array(*[F.lit(p) for p in GUESSES]), lambda p: F.concat(origin, p)))
+    some, more = (F.array(*[F.lit(p) for p in x]) for x in (GUESSES, GUESSES + MORE_GUESSES))
+    paths = F.when(F.coalesce(kind, F.lit("")).rlike(MORE_GUESS_NAMES), more).otherwise(some)
+    return F.when(origin != "", F.transform(paths, lambda p: F.concat(origin, p)))
+
+
+def site_kind(url: Column) -> Column:
+    t = F.trim(F.coalesce(url, F.lit("")))
+    return F.when(t == "", "none").when(mentions(F.coalesce(hostname(t), F.lower(t)), ORDERING), "social_only").otherwise("real")
 
 
 def fetch_key(url: Column) -> Column:
