@@ -29,8 +29,15 @@ def prepared(s, d):
     return w.withColumn("day", (F.col("id") % 7 + 1).cast("int")).withColumn("minute", (F.col("id") * 17 % 1440).cast("int"))
 
 
-W = window_struct()
-DAY, MINUTE, PERIODS, START, END = (F.col(c) for c in ("day", "minute", "periods", "start", "end"))
+def W():
+    return window_struct()
+
+
+def _column(name):
+    return lambda: F.col(name)
+
+
+DAY, MINUTE, PERIODS, START, END = map(_column, ("day", "minute", "periods", "start", "end"))
 
 
 @query("t1_local_now", "SELECT event_id, isodow(z) AS iso_day, CAST(hour(z) * 60 + minute(z) AS INTEGER) AS minutes, strftime(z, '%H:%M') AS hhmm FROM (SELECT event_id, timezone(CASE event_id % 3 WHEN 0 THEN 'America/Los_Angeles' WHEN 1 THEN 'Europe/Berlin' ELSE 'Asia/Kolkata' END, timezone('UTC', ts)) AS z FROM events)")
@@ -41,7 +48,7 @@ def t1(s, d):
 
 @query("t2_open_now", f"{PREPARED} SELECT id, {OPEN_NOW} AS is_open FROM w")
 def t2(s, d):
-    return prepared(s, d).select("id", weekly.open_at(PERIODS, DAY, MINUTE).alias("is_open"))
+    return prepared(s, d).select("id", weekly.open_at(PERIODS(), DAY(), MINUTE()).alias("is_open"))
 
 
 @query(
@@ -52,7 +59,7 @@ def t2(s, d):
   ELSE list_contains(days, day) AND minute >= start_ AND minute < end_ END, false) AS runs FROM w""",
 )
 def t3(s, d):
-    return prepared(s, d).select("id", weekly.active(W, DAY, MINUTE, PERIODS).alias("runs"))
+    return prepared(s, d).select("id", weekly.active(W(), DAY(), MINUTE(), PERIODS()).alias("runs"))
 
 
 @query(
@@ -63,7 +70,7 @@ SELECT id, min(o * 10000 + s) // 10000 AS "offset", min(o * 10000 + s) % 10000 A
 )
 def t4(s, d):
     """An all-day or open window starts when the place opens; in this data what closes is always known."""
-    found = weekly.next_start(F.array(W), DAY, MINUTE, PERIODS)
+    found = weekly.next_start(F.array(W()), DAY(), MINUTE(), PERIODS())
     return prepared(s, d).select("id", found.alias("n")).where("n is not null").select("id", F.col("n.offset").cast("long").alias("offset"), F.col("n.start").cast("long").alias("start"))
 
 
@@ -74,12 +81,12 @@ SELECT id, CASE WHEN all_day OR start_ IS NULL THEN own[1].open_min ELSE start_
 FROM o WHERE (all_day OR start_ IS NULL OR end_ IS NULL) AND len(own) > 0""",
 )
 def t5(s, d):
-    return prepared(s, d).select("id", weekly.bounds_on(W, PERIODS, DAY).alias("b")).where("b is not null").select("id", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"))
+    return prepared(s, d).select("id", weekly.bounds_on(W(), PERIODS(), DAY()).alias("b")).where("b is not null").select("id", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"))
 
 
 @query("t6_minutes_left", f"{PREPARED} SELECT id, CASE WHEN all_day OR end_ IS NULL THEN NULL WHEN start_ IS NOT NULL AND crosses AND list_contains(days, day) AND minute >= start_ THEN 1440 - minute + end_ ELSE end_ - minute END AS left_ FROM w")
 def t6(s, d):
-    return prepared(s, d).select("id", weekly.minutes_left(W, DAY, MINUTE).cast("long").alias("left_"))
+    return prepared(s, d).select("id", weekly.minutes_left(W(), DAY(), MINUTE()).cast("long").alias("left_"))
 
 
 @query(
@@ -97,7 +104,7 @@ _TIME = lambda x: f"CASE WHEN {x} IS NULL THEN 'close' ELSE CASE WHEN {x} // 60
 
 @query("t8_format_window", f"WITH {i.WINDOWS} SELECT id, CASE WHEN all_day THEN 'Open to close' WHEN start_ IS NULL THEN 'Open until ' || {_TIME('end_')} ELSE {_TIME('start_')} || ' – ' || {_TIME('end_')} END AS label FROM windows")
 def t8(s, d):
-    return i.windows(s, d).select("id", weekly.format_window(W).alias("label"))
+    return i.windows(s, d).select("id", weekly.format_window(W()).alias("label"))
 
 
 @query("t8_format_price", f"WITH {i.OFFERS} SELECT id, line, cents, '$' || (cents // 100) || CASE WHEN cents % 100 = 0 THEN '' ELSE '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END AS price FROM offers")
@@ -107,12 +114,12 @@ def t8p(s, d):
 
 @query("t9_durations", f"WITH {i.WINDOWS} SELECT id, CASE WHEN end_ <= start_ THEN end_ + 1440 - start_ ELSE end_ - start_ END AS whole, CASE WHEN end_ < start_ THEN end_ + 1440 - start_ ELSE end_ - start_ END AS zero, coalesce(end_ < start_, false) AS crosses FROM windows")
 def t9(s, d):
-    return i.windows(s, d).select("id", weekly.duration(START, END).alias("whole"), weekly.duration_or_zero(START, END).alias("zero"), weekly.crosses_midnight(START, END).alias("crosses"))
+    return i.windows(s, d).select("id", weekly.duration(START(), END()).alias("whole"), weekly.duration_or_zero(START(), END()).alias("zero"), weekly.crosses_midnight(START(), END()).alias("crosses"))
 
 
 @query("t14_implausible", f"WITH {i.WINDOWS} SELECT id FROM windows WHERE CASE WHEN end_ >= start_ THEN end_ - start_ > 510 ELSE end_ + 1440 - start_ > 360 END")
 def t14(s, d):
-    return i.windows(s, d).where(weekly.implausible(START, END)).select("id")
+    return i.windows(s, d).where(weekly.implausible(START(), END())).select("id")
 
 
 @query("t16_due_again", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01 00:00:00' - INTERVAL 60 DAY AND o_orderstatus = 'O'")
@@ -216,7 +223,7 @@ def f44(s, d):
 
 @query("c5_operating_hours")
 def c5(s, d):
-    return prepared(s, d).select("id", weekly.operating_hours(W, PERIODS).alias("operating"))
+    return prepared(s, d).select("id", weekly.operating_hours(W(), PERIODS()).alias("operating"))
 
 
 @query("c6_reconcile")
@@ -264,7 +271,7 @@ def c1(s, d):
     """All offers of this data are drinks or food at once, so no window is a menu that runs to the close."""
     none = F.lit(None).cast("string")
     kindless = F.transform("items", lambda o: F.struct(o["name"].alias("name"), o["description"].alias("description"), o["cents"].alias("cents"), F.lit("drink").alias("kind")))
-    return _with_offers(s, d).select("id", gates.realness(W, kindless, none, none, PERIODS, F.col("id") % 10 / 10.0, ~F.col("all_day")).alias("reasons"))
+    return _with_offers(s, d).select("id", gates.realness(W(), kindless, none, none, PERIODS(), F.col("id") % 10 / 10.0, ~F.col("all_day")).alias("reasons"))
 
 
 @query("c9_offer_junk", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'price-as-name' WHEN p_partkey % 5 = 1 THEN 'ecommerce-chrome' WHEN p_partkey % 5 = 2 THEN 'nav-boilerplate' WHEN p_partkey % 5 = 3 AND p_size > 25 THEN 'bare-soft-drink' END AS rule FROM part")
