@@ -108,10 +108,28 @@ class Model:
 
 
 def _evidence(p: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-    """Per document: a constant, the log odds of any toxic token, and the log of the expected number of toxic tokens."""
-    nothing = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), docs)
-    anything = np.clip(np.log(np.maximum(-np.expm1(nothing), 1e-9)) - nothing, -12, 12)
-    return np.c_[np.ones(docs), anything, np.log1p(np.bincount(owner, p, docs))]
+    """Per document: a constant, the log odds of its likeliest toxic token, and the log of the expected number of toxic tokens
+    among those that are not negligible (so that a long text is not toxic by its length)."""
+    best = np.full(docs, 1e-5)
+    np.maximum.at(best, owner, np.minimum(p, 1 - 1e-5))
+    return np.c_[np.ones(docs), np.log(best / (1 - best)), np.log1p(np.bincount(owner, np.where(p > 0.1, p, 0.0), docs))]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weighted logistic regression with a ridge on all but the constant, by Newton's steps that are halved until they gain."""
+    keep = ridge * np.r_[0.0, np.ones(x.shape[1] - 1)]
+    loss = lambda w: float((weight * np.logaddexp(0.0, np.where(y == 1, -1.0, 1.0) * (x @ w))).sum() + (keep * w * w).sum() / 2)
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(keep + 1e-6)
+        step, before = np.linalg.solve(h, x.T @ (weight * (y - q)) - keep * w), loss(w)
+        while loss(w + step) > before and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 def train(texts: list[str], toxic: list[int], priors: tuple[int, int] = (1, 1), fit: Fit = Fit()) -> Model:
@@ -155,13 +173,7 @@ def train(texts: list[str], toxic: list[int], priors: tuple[int, int] = (1, 1),
     p = marginals(model.weights[table].sum(1)[words], lengths, model.moves)
     x = _evidence(p, owner, len(seqs))
     weight = np.where(y == 1, priors[1] / n1, priors[0] / n0)
-    weight = weight / weight.sum() * len(y)
-    w = np.array([constant, 0.5, 0.5])
-    for _ in range(30):  # Newton's method, with a ridge
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(3)
-        w = w + np.linalg.solve(h, x.T @ (weight * (y - q)) - 1e-2 * w)
-    model.scale = w
+    model.scale = _logistic(x, y, weight / weight.sum() * len(y))
     return model
 
 

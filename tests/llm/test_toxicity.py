@@ -89,3 +89,15 @@ def test_without_labels(spark):
     for marks in (none, spark.createDataFrame([(i, 0) for i, _ in labels], "doc_id long, toxic int")):
         tagged, name = toxicity.tag(docs, toxicity.learn(docs, marks))
         assert {r[name].predicted for r in tagged.collect()} == {0}
+
+
+def test_long_clean_texts_are_clean(spark):
+    """Length alone must not make a text toxic, and one insult in a long text must."""
+    rows, labels = corpus(1000)
+    rng = random.Random(2)
+    model = toxicity.train([r[1] for r in rows], [t for _, t in labels], (800, 200))
+    assert np.abs(model.scale).max() < 50
+    clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)) for n in (10, 100, 1000, 10_000)]
+    scorer = toxicity.Scorer(model)
+    assert (scorer.score(clean)[0] < 0.5).all()
+    assert (scorer.score([t + " zorgon" for t in clean])[0] >= 0.5).all()
