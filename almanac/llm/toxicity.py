@@ -243,7 +243,7 @@ def tag(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
 
         return run
 
-    return widen(docs, name, TAGS, factory, 16 << 20), name
+    return widen(docs, name, TAGS, factory, 6 << 20), name
 
 
 def remainder(doc_id: str = "doc_id"):
