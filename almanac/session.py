@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTC everywhere, adaptive execution for skew and small partitions; the shuffle width is left to the caller.
@@ -23,6 +26,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).getOrCreate()
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder they start in. A cluster that ships
+    the package by its own means is not disturbed: the folder is only added to the workers' path."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``; Catalyst prunes its columns and pushes filters into the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
