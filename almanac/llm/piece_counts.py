@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from almanac.llm.common import fresh, widen
 
 SPACE = "▁"  # stands for a space inside pieces
 REMEMBERED = 400_000
+#: Longest word, in symbols, that is merged in arrays.
+LONG = 256
 NONE = np.iinfo(np.int64).max
 
 
@@ -36,9 +39,10 @@ class Vocabulary:
     longest: int
     runs: list[int] = field(default_factory=list)
     known: dict[str, int] = field(default_factory=dict)
+    table: dict[int, tuple[int, int]] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "table": {}}
 
 
 def load(path: str) -> Vocabulary:
@@ -131,6 +135,39 @@ def merged_counts(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarr
     return total, bare
 
 
+def _long_count(v: Vocabulary, word: str) -> tuple[int, bool]:
+    """As ``merged_counts`` for one word: the same merges in the same order, from a heap over linked symbols. In arrays a long
+    word would take as many turns as it has merges, each over all of it."""
+    if not v.table:
+        v.table.update(zip(v.pair.tolist(), zip(v.rank.tolist(), v.made.tolist(), strict=True), strict=True))
+    ids = [v.chars.get(c, -1) for c in word]
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    find = lambda a, b: v.table.get(a * v.size + b) if a >= 0 and b >= 0 else None
+    best = [find(a, b) for a, b in zip(ids, ids[1:])] + [None]
+    heap = [(x[0], i) for i, x in enumerate(best) if x]
+    heapify(heap)
+    gone = [False] * n
+    while heap:
+        rank, i = heappop(heap)
+        if gone[i] or not best[i] or best[i][0] != rank:
+            continue
+        j = after[i]
+        k = after[i] = after[j]
+        ids[i], gone[j], best[j], best[i] = best[i][1], True, None, None
+        if k < n:
+            before[k] = i
+            if x := find(ids[i], ids[k]):
+                best[i] = x
+                heappush(heap, (x[0], i))
+        if (h := before[i]) >= 0:
+            best[h] = find(ids[h], ids[i])
+            if best[h]:
+                heappush(heap, (best[h][0], h))
+    tokens = sum(1 if ids[i] >= 0 else len(word[i].encode("utf-8", "surrogatepass")) for i in range(n) if not gone[i])
+    return tokens, n > 0 and ids[0] == v.chars[SPACE]
+
+
 #: A pre-token: spaces with what follows up to a space or line feed, or line feeds (which no piece of these models holds).
 PRE = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -142,10 +179,12 @@ def _count(v: Vocabulary, new: list[str]) -> list[int]:
         k = len(t) - len(word)
         spaces.append(k)
         words.append(SPACE + word if k and word else word)
-    filled = [i for i, w in enumerate(words) if w]
+    filled = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
     total, bare = np.zeros(len(new), np.int64), np.zeros(len(new), bool)
     if filled:
         total[filled], bare[filled] = merged_counts(v, [words[i] for i in filled])
+    for i in (i for i, w in enumerate(words) if len(w) > LONG):
+        total[i], bare[i] = _long_count(v, words[i])
     out = []
     for n, left, word, k in zip(total.tolist(), bare.tolist(), words, spaces, strict=True):
         # the word's own space is in n; if it stayed bare, it belongs to the run, else the run is one shorter

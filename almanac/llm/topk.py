@@ -202,11 +202,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS,
 
     Blocks of candidates meet blocks of queries, and only the k best of each meeting go on, so no vectors are broadcast or
     collected; an index block is sent once for every ``TEAM`` query blocks, a query block once for every index block. Null vectors take no part; vectors of different dimension never meet; a repeated vec_id is a candidate as
-    often as it occurs; a repeated query gives its rows once. Scores must fit a long."""
+    often as it occurs; a repeated query is asked once, by its least vector. Scores must fit a long."""
     width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clean = lambda df: df.where("vec_id is not null and q is not null and size(q) > 0").select("vec_id", "q")
     index = blocks(clean(vectors), rows, width)
-    asked = blocks(clean(queries).dropDuplicates(["vec_id"]), per, width)
+    asked = blocks(clean(queries).groupBy("vec_id").agg(F.min("q").alias("q")), per, width)
     teams = max(1, -(-asked.count() // TEAM))
     cells = index.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(teams - 1))).alias("team"))
     one = index.join(cells, ["dim", "block"]).select(F.struct("block", "team").alias("pair"), F.lit(0).alias("side"), "dim", "ids", "vectors")

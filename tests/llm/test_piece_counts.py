@@ -29,7 +29,7 @@ def test_odd_texts(pair):
     rng = random.Random(4)
     parts = [" ", "  ", "\n", "\t", "the", "ing", "ngng", "é", "漢", "\U0001f600", "▁", "\x00", "<s>", "<0x41>", "</s>", "aaa", "12", "\x85", "​", " " * 17]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(1500)]
-    texts += [" " * k for k in range(80)] + [" " * k + "the" for k in range(40)] + ["x" * 3000, "ab" * 2000, "".join(rng.choices("ingths", k=2500)), "漢" * 3000]
+    texts += [" " * k for k in range(80)] + [" " * k + "the" for k in range(40)] + ["x" * 3000, "ab" * 2000, "".join(rng.choices("ingths", k=2500)), "漢" * 3000, "x" * 30_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30_000)), "a " + "th" * 9000 + "\U0001f600" * 500 + " b", "  " + "in" * 300]
     assert piece_counts.counts(own, texts) == public(texts)
 
 
