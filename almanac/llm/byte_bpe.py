@@ -71,39 +71,54 @@ class Tokenizer:
         self.find = PerfectHash(vocabulary)
         self.byte = [self.find(bytes([b])) for b in range(256)]
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "pairs": {}}
 
-    def _rank(self, a: int, b: int) -> int:
-        if (rank := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            rank = self.pairs[a, b] = self.find(self.vocabulary[a] + self.vocabulary[b])
+    def _rank(self, pair: int) -> int:
+        """The rank of what a pair (a * size + b) makes, or -1; remembered."""
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        a, b = divmod(pair, len(self.vocabulary))
+        rank = self.pairs[pair] = self.find(self.vocabulary[a] + self.vocabulary[b])
         return rank
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
-        """Always the pair of lowest rank, of several the leftmost. A heap entry whose symbols have changed is stale."""
-        ids = [self.byte[b] for b in raw]
-        n, rank = len(ids), self._rank
+        """Always the pair of lowest rank, of several the leftmost. The heap holds rank << 32 | place; an entry counts only while
+        the pair at its place still has that rank."""
+        size, known, rank = len(self.vocabulary), self.pairs.get, self._rank
+        byte = self.byte
+        ids = [byte[b] for b in raw]
+        n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i], ids[i + 1])) >= 0]
+        ranks = [r if (r := known(pair)) is not None else rank(pair) for pair in [a * size + b for a, b in zip(ids, ids[1:])]]
+        ranks.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
         heapify(heap)
         while heap:
-            r, i, a, b = heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            entry = heappop(heap)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
+            if ranks[i] != r:
                 continue
-            ids[i], ids[j] = r, -1
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], ids[j], ranks[j], ranks[i] = r, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (x := rank(r, ids[k])) >= 0:
-                    heappush(heap, (x, i, r, ids[k]))
-            if (h := before[i]) >= 0 and (x := rank(ids[h], r)) >= 0:
-                heappush(heap, (x, h, ids[h], r))
-        return tuple(x for x in ids if x >= 0)
+                pair = r * size + ids[k]
+                x = known(pair)
+                x = ranks[i] = x if x is not None else rank(pair)
+                if x >= 0:
+                    heappush(heap, x << 32 | i)
+            h = before[i]
+            if h >= 0:
+                pair = ids[h] * size + r
+                x = known(pair)
+                x = ranks[h] = x if x is not None else rank(pair)
+                if x >= 0:
+                    heappush(heap, x << 32 | h)
+        return tuple([x for x in ids if x >= 0])
 
     def token(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "surrogatepass")
