@@ -370,13 +370,13 @@ def g14(s, d):
     return spatial.assign(i.points(s, d), i.areas(s, d))
 
 
-@query("g8_cardinal_parts", "SELECT n_nationkey AS id, z.zone, z.west, z.east FROM nation, (VALUES ('South', 0.0, 3.0), ('West', 0.0, 1.0), ('Central', 1.0, 2.0), ('East', 2.0, 3.0), ('North', 0.0, 3.0)) z(zone, west, east)")
+@query("g8_cardinal_parts", "SELECT n_nationkey AS id, z.zone, CAST(z.west AS DOUBLE) AS west, CAST(z.east AS DOUBLE) AS east FROM nation, (VALUES ('South', 0.0, 3.0), ('West', 0.0, 1.0), ('Central', 1.0, 2.0), ('East', 2.0, 3.0), ('North', 0.0, 3.0)) z(zone, west, east)")
 def g8(s, d):
     box = [F.lit(v) for v in (0.0, 0.0, 3.0, 3.0)]
     return t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.inline(geo.cardinal_parts(*box))).select("id", "zone", "west", "east")
 
 
-@query("g9_tiles", "SELECT i * 0.5 + 0.25 AS x, j * 0.5 + 0.25 AS y FROM range(0, 4) a(i), range(0, 2) b(j)")
+@query("g9_tiles", "SELECT CAST(i * 0.5 + 0.25 AS DOUBLE) AS x, CAST(j * 0.5 + 0.25 AS DOUBLE) AS y FROM range(0, 4) a(i), range(0, 2) b(j)")
 def g9(s, d):
     return s.range(1).select(F.inline(geo.tiles(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(1.0), 0.5)))
 
@@ -440,9 +440,9 @@ def r7(s, d):
     return limits.first_votes(i.submissions(s, d).select(*keys), keys)
 
 
-@query("spark_tumbling_counts", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS since, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+@query("spark_tumbling_counts", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS since, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling(s, d):
-    return limits.tumbling(t(s, d, "events"), "6 hours")
+    return limits.tumbling(t(s, d, "events"), "6 hours").withColumn("total", F.round("total", 4))
 
 
 @query("spark_sessions", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS since, max(ts) + INTERVAL 12 HOUR AS until, count(*) AS n FROM n GROUP BY user_id, k")

@@ -18,7 +18,9 @@ def _sql(value) -> str:
         return "NULL"
     if isinstance(value, bool):
         return str(value).lower()
-    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+    if isinstance(value, float):
+        return f"CAST({value} AS DOUBLE)"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
 def cases(name: str, expression, *pairs) -> None:
@@ -96,9 +98,9 @@ def w2(s, d):
     return spatial.best_area(i.points(s, d), i.areas(s, d))
 
 
-@query("g3_boxes", f"WITH {i.AREAS} SELECT area, west, south, west + 0.55 AS east, south + 0.55 AS north FROM areas")
+@query("g3_boxes", f"WITH {i.AREAS} SELECT area, round(CAST(west AS DOUBLE), 6) AS west, round(CAST(south AS DOUBLE), 6) AS south, round(CAST(west + 0.55 AS DOUBLE), 6) AS east, round(CAST(south + 0.55 AS DOUBLE), 6) AS north FROM areas")
 def g3(s, d):
-    return i.areas(s, d).select("area", geo.box(F.col("shape")).alias("b")).select("area", "b.*")
+    return i.areas(s, d).select("area", geo.box(F.col("shape")).alias("b")).select("area", *[F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("west", "south", "east", "north")])
 
 
 @query("g6_area_sizes", f"WITH {i.AREAS} SELECT area, round(0.55 * 0.55 * cos(radians(south)) * 111195 * 111195 / 1e6, 3) AS km2 FROM areas")

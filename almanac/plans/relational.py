@@ -449,10 +449,10 @@ def a22(s, d):
     return i.windows(s, d).select("active", F.explode(codes).alias("code")).groupBy("code").agg(F.count(F.when(F.col("active"), 1)).alias("kept_hits"), F.count(F.when(~F.col("active"), 1)).alias("hidden_hits"))
 
 
-@query("a23_recall_over_runs", "SELECT event_type AS case_, avg(hit) AS recall, max(hit) - min(hit) >= 0.34 AS flaky FROM (SELECT event_type, event_id % 5 AS run, avg(CASE WHEN value > 30 THEN 1.0 ELSE 0.0 END) AS hit FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("a23_recall_over_runs", "SELECT event_type AS case_, round(avg(hit), 6) AS recall, max(hit) - min(hit) >= 0.34 AS flaky FROM (SELECT event_type, event_id % 5 AS run, avg(CASE WHEN value > 30 THEN 1.0 ELSE 0.0 END) AS hit FROM events GROUP BY 1, 2) GROUP BY 1")
 def a23(s, d):
     runs = t(s, d, "events").groupBy("event_type", (F.col("event_id") % 5).alias("run")).agg(F.avg(F.when(F.col("value") > 30, 1.0).otherwise(0.0)).alias("hit"))
-    return runs.groupBy(F.col("event_type").alias("case_")).agg(F.avg("hit").alias("recall"), (F.max("hit") - F.min("hit") >= 0.34).alias("flaky"))
+    return runs.groupBy(F.col("event_type").alias("case_")).agg(F.round(F.avg("hit"), 6).alias("recall"), (F.max("hit") - F.min("hit") >= 0.34).alias("flaky"))
 
 
 @query("a25_facts_by_name", f"WITH {i.SUBMISSIONS} SELECT kind AS name, list_sort(list(DISTINCT vote)) AS votes, max(ts) AS newest FROM submissions GROUP BY kind")
