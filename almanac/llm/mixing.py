@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.llm.common import WORD, bounded, fresh, ranged, text_or_empty
+from almanac.llm.common import WORD, bounded, cut, fresh, ranged, text_or_empty
 
 #: Weights by rank of the source, repeating; all targets together as a fraction of all sizes; most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), (3, 2), 2
@@ -88,12 +88,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     and take 0; null ids and sources are values of their own, sources last. Rows that repeat (source, doc_id, size) fill
     the cut one after another. An empty table gives an empty one. The name of the new column is in ``mix_column``."""
     name = mix_column(docs)
-    sized = docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), hash_key(F.col("doc_id")).alias("key"))
+    sized = cut(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), hash_key(F.col("doc_id")).alias("key")))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
-    small = cuts(sized, goal)
-    left = docs.withColumn(name, F.struct(word_count(text_or_empty()).alias("size"), hash_key(F.col("doc_id")).alias("key")))
+    small = bounded(cuts(sized, goal)).alias("c")
+    measured = lambda df: df.withColumn(name, F.struct(word_count(text_or_empty()).alias("size"), hash_key(F.col("doc_id")).alias("key")))
+    same = F.col("l.source").eqNullSafe(F.col("c.source"))
     row = F.struct(F.col(f"l.{name}.key").alias("key"), F.col("l.doc_id").alias("doc_id"), F.col(f"l.{name}.size").alias("size"))
-    joined = left.alias("l").join(bounded(small).alias("c"), F.col("l.source").eqNullSafe(F.col("c.source")))
+    joined = measured(docs).alias("l").join(small, same)
+    # for the rows at a cut, words are counted again only where the key is that of a cut
+    ending = measured(docs.withColumn(name, hash_key(F.col("doc_id"))).alias("l").join(small, same & (F.col(f"l.{name}") == F.col("c.cut.key")), "left_semi")).alias("l").join(small, same)
     out = lambda order: F.struct(
         F.col(f"l.{name}.size").alias("size"),
         F.col("c.source_size").alias("source_size"),
@@ -104,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     at_cut = F.coalesce(row.eqNullSafe(F.col("c.cut")), F.lit(False))
     whole = joined.where(~at_cut).select(*others, out(F.when(F.col("c.cut").isNotNull() & (row < F.col("c.cut")), F.col(f"l.{name}.size")).otherwise(0)).alias(name))
     nth = F.row_number().over(W.partitionBy(F.col("c.source")).orderBy(F.lit(1))) - 1
-    part = joined.where(at_cut).select(*others, out(F.greatest(F.lit(0), F.least(F.col(f"l.{name}.size"), F.col("c.cut_words") - nth * F.col(f"l.{name}.size")))).alias(name))
+    part = ending.where(at_cut).select(*others, out(F.greatest(F.lit(0), F.least(F.col(f"l.{name}.size"), F.col("c.cut_words") - nth * F.col(f"l.{name}.size")))).alias(name))
     return whole.unionByName(part)
 
 
