@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, fresh, pieces
+from almanac.llm.common import cut, fresh, pieces, widen
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Most fingerprints of one tree before its shard is dealt again or split.
@@ -236,30 +235,45 @@ def components(edges: DataFrame) -> DataFrame:
 # ---- the operator
 
 
+def _rooted(docs: DataFrame, radius: int, width: int, tree: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row; and (fp, least, root) of every fingerprint: its least doc_id and its group's root."""
+    signed = cut(fingerprints(docs, width))
+    distinct = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct, radius, tree))
+    return signed, distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tree: int = TREE) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, for every row of ``docs`` (doc_id, text).
 
     Exact copies share a fingerprint and cost one row. Null, empty and blank texts have fingerprint zero, linked like any
     other; null ids are kept but are never a component's id unless all its ids are null; repeated rows are kept. Other
     columns are ignored, an empty table gives an empty one."""
-    signed = cut(fingerprints(docs, width))
-    distinct = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct, radius, tree))
-    rooted = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    signed, rooted = _rooted(docs, radius, width, tree)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return signed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each group: the row of the smallest doc_id (of its repeats, the first by text)."""
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    keep = groups(docs, **how).where(own).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    count = fresh(docs.columns, "rows")
-    kept = docs.join(keep.select("id", F.col("rows").alias(count)).withColumnRenamed("id", ident := fresh([*docs.columns, count], "kept_id")), F.col("doc_id").eqNullSafe(F.col(ident)))
-    single = kept.where(F.col(count) == 1).select(*_all(docs))
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
-    repeated = kept.where(F.col(count) > 1).withColumn(count, nth).where(F.col(count) == 1).select(*_all(docs))
-    return single.unionByName(repeated)
+def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tree: int = TREE) -> DataFrame:
+    """``docs`` with one row of each group: the row of the smallest doc_id (of its repeats in the group, the first by text).
+
+    A doc_id that is one row's alone says which row is meant. Rows of null and of repeated ids are told apart by their
+    fingerprints, which are made again for them only, and reduced by aggregation, whatever the number of such rows."""
+    signed, rooted = _rooted(docs, radius, width, tree)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a fingerprint has rows of the component's id if that is its own least id
+    chosen = cut(rooted.join(least, "root").where(F.col("least").eqNullSafe(F.col("component_id"))).select("root", F.col("least").alias("id"), F.col("fp").alias("its_fp")))
+    rows = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg((F.count(F.lit(1)) > 1).alias("many"))
+    ident, many, line, fp, row = (fresh([*docs.columns, "root", "id", "its_fp"], c) for c in ("kept_id", "many", "line", "fp_of", "row"))
+    marks = chosen.select("id").distinct().join(rows, "id").select(F.col("id").alias(ident), F.col("many").alias(many))
+    kept = docs.join(marks, F.col("doc_id") == F.col(ident))
+    single = kept.where(~F.col(many)).select(*_all(docs))
+    rest = kept.where(many).select(*_all(docs)).unionByName(docs.where("doc_id is null")).withColumn(line, F.col("text").cast("string"))
+    signs = widen(rest, fp, "long", lambda: lambda texts: pa.array(fingerprints_of(texts, width).view(np.int64)), column_read=line)
+    first = lambda value, text: F.min_by(value, F.struct(text)).alias(row)
+    copies = signs.groupBy(F.col("doc_id").alias(ident), fp).agg(first(F.struct(*_all(docs)), F.col(line)))
+    groups_of = copies.join(chosen, F.col(ident).eqNullSafe(F.col("id")) & (F.col(fp) == F.col("its_fp")))
+    return single.unionByName(groups_of.groupBy("root").agg(first(F.col(row), F.col(row)["text"].cast("string"))).select(f"{row}.*"))
 
 
 def _all(df: DataFrame) -> list:

@@ -94,3 +94,15 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     kept = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "component_id"]
     assert sorted((str(r.doc_id), r.fp) for r in kept.collect()) in ([("1", "a"), ("9", "c"), ("None", "d")],)
+
+
+def test_near_dedup_keeps_one_row_of_each_group_of_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    text = [" ".join(f"{c}{rng.randrange(10_000)}" for _ in range(60)) for c in "abcdefg"]
+    rows = [(None, text[0], "n0", 0), (None, text[0], "n0", 0), (None, text[1], "n1", 0), (None, None, "zero", 0), (None, " ", "zero", 0)]
+    rows += [(7, text[2], "r2", 0), (7, text[3], "r3", 0), (7, text[3], "r3", 0)]  # two groups under one id
+    rows += [(8, text[4], "r4", 0), (8, text[5], "r5", 0), (2, text[5], "least", 0)]  # one of two rows of an id is in another group
+    rows += [(None, text[6], "null", 0), (5, text[6], "known", 0)]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = [(2, text[5], "least"), (5, text[6], "known"), (7, text[2], "r2"), (7, text[3], "r3"), (8, text[4], "r4"), (None, text[0], "n0"), (None, text[1], "n1"), (None, None, "zero")]
+    assert sorted(((r.doc_id, r.text, r.fp) for r in kept), key=str) == sorted(want, key=str)
