@@ -49,8 +49,18 @@ def c22(s, d):
 
 @query("c28_evidence_files", f"WITH {i.SUBMISSIONS}, f AS (SELECT target, max(ts) AS newest, bool_or(kind = 'purchase') AS cited, bool_or(vote = 'confirm' AND kind = 'view') AS alive FROM submissions WHERE id % 50 = 0 GROUP BY target) SELECT target, CASE WHEN cited OR alive THEN 'keep' WHEN epoch_us(TIMESTAMP '2024-02-20 00:00:00') - epoch_us(newest) >= 30 * 86400000000 THEN 'delete' ELSE 'keep' END AS action FROM f")
 def c28(s, d):
+    return evidence_files(i.submissions(s, d).where("id % 50 = 0"))
+
+
+@query("c28_evidence_files_whole", f"WITH {i.SUBMISSIONS}, f AS (SELECT target, max(ts) AS newest, bool_or(kind = 'purchase') AS cited, bool_or(vote = 'confirm' AND kind = 'view') AS alive FROM submissions GROUP BY target) SELECT target, CASE WHEN cited OR alive THEN 'keep' WHEN epoch_us(TIMESTAMP '2024-02-20 00:00:00') - epoch_us(newest) >= 30 * 86400000000 THEN 'delete' ELSE 'keep' END AS action FROM f")
+def c28_whole(s, d):
+    """Over every event; ``c28_evidence_files`` reads one of 50, as its SQL does."""
+    return evidence_files(i.submissions(s, d))
+
+
+def evidence_files(votes):
     status = F.when((F.col("vote") == "confirm") & (F.col("kind") == "view"), "applied").otherwise("rejected")
-    f = i.submissions(s, d).where("id % 50 = 0").groupBy("target").agg(F.max("ts").alias("newest"), F.bool_or(F.col("kind") == "purchase").alias("cited"), F.collect_set(status).alias("statuses"))
+    f = votes.groupBy("target").agg(F.max("ts").alias("newest"), F.bool_or(F.col("kind") == "purchase").alias("cited"), F.collect_set(status).alias("statuses"))
     at = F.col("newest").cast("timestamp")
     return f.select("target", review.evidence_file(F.col("cited"), F.col("statuses"), at, at, F.lit("2024-02-20 00:00:00").cast("timestamp")).alias("action"))
 
