@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,13 +21,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder is made and set."""
+    """The session's ``spark.checkpoint.dir``. Only a local session (tests) gets a temporary folder of its own where that is
+    unset; a cluster without a shared folder is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="almanac-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="almanac-"))
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, of which later reads take only the columns they need. The
+    folder's owner removes it, as with checkpoints."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs a read and not a recomputation."""
     checkpoint_folder(df.sparkSession)
@@ -42,6 +56,23 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(done) if done.count() <= rows else done
 
 
+#: A key is hot if over one in this many rows has it, so there are fewer hot keys than this.
+HOT = 1000
+
+
+def spread(many: DataFrame, one: DataFrame, keys: list[str], rows: str = "n") -> DataFrame:
+    """The inner join of ``many`` with ``one``, which has a row for each key that occurs in ``many`` and in ``rows`` how often.
+
+    Hot keys, fewer than ``HOT`` by their definition, are broadcast, so their rows stay where they are; the others are
+    joined by a shuffle, in which no key has more than its share. A small ``one`` is broadcast whole. Null keys meet nothing."""
+    one = cut(one)
+    n, total = one.agg(F.count(F.lit(1)), F.sum(rows)).first()
+    if n <= BROADCAST_ROWS:
+        return many.join(F.broadcast(one.drop(rows)), keys)
+    hot = F.broadcast(one.where(F.col(rows) * HOT > total).drop(rows))
+    return many.join(hot, keys).unionByName(many.join(hot, keys, "left_anti").join(one.where(F.col(rows) * HOT <= total).drop(rows), keys))
+
+
 def fresh(columns: Iterable[str], base: str) -> str:
     """``base``, lengthened until it clashes with no column (names compare without case, as Spark compares them)."""
     taken = {c.lower() for c in columns}

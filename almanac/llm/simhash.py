@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, fresh, pieces, widen
+from almanac.llm.common import bounded, cut, fresh, pieces, spread, widen, written
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Most fingerprints of one tree before its shard is dealt again or split.
@@ -182,7 +182,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
     block = lambda value, i, width: F.shiftrightunsigned(value, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     dealt = distinct.select("fp", F.posexplode(F.array(*[block(F.col("fp"), i, 16) for i in range(4)])).alias("b", "value")).withColumn("shard", F.col("b") * 65536 + F.col("value"))
     crowd = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    large = crowd(dealt, "shard").where(F.col("n") > tree).select("shard", F.lit(True).alias("large"))
+    large = bounded(crowd(dealt, "shard").where(F.col("n") > tree).select("shard", F.lit(True).alias("large")))
     marked = dealt.join(large, "shard", "left")
     # the 48 bits that the block leaves, low and high part put together
     rest = F.when(F.col("b") == 0, F.shiftrightunsigned("fp", 16))
@@ -196,7 +196,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
         .select("fp", "shard", F.posexplode(F.array(*[block(F.col("rest"), i, 12) for i in range(4)])).alias("c", "value"))
         .select("fp", ((F.col("shard") * 4 + F.col("c")) * 4096 + F.col("value") + (1 << 20)).cast("long").alias("shard"))
     )
-    sized = again.join(crowd(again, "shard"), "shard").withColumn("chunks", F.ceil(F.col("n") / (tree // 2)).cast("int"))
+    sized = spread(again, crowd(again, "shard").withColumn("of", F.col("n")), ["shard"], "of").withColumn("chunks", F.ceil(F.col("n") / (tree // 2)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     fits = sized.where(F.col("n") <= tree).select("fp", "shard")
     split = (
@@ -217,14 +217,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, root) for each node of ``edges`` (u, v): the smallest node of its component, by large-star and small-star turns.
 
     Each turn is two aggregations and joins by node; a node with very many neighbours is pre-aggregated before the shuffle
-    and its join is split by adaptive execution. The edge list never leaves the executors; each turn is cut."""
+    and its edges stay where they are in the join (``spread``). The edge list never leaves the executors; each turn is cut."""
     state, last = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large)
+        small = spread(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         state = cut(small)
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == last:
@@ -235,12 +235,13 @@ def components(edges: DataFrame) -> DataFrame:
 # ---- the operator
 
 
-def _rooted(docs: DataFrame, radius: int, width: int, tree: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row; and (fp, least, root) of every fingerprint: its least doc_id and its group's root."""
-    signed = cut(fingerprints(docs, width))
-    distinct = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct, radius, tree))
-    return signed, distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` (node, and any others, one row each) with ``root``, the smallest node of the component by ``edges`` (u, v), and
+    ``lone``, whether there is no other in it. Only nodes with an edge take part in the search for components."""
+    roots = components(edges)
+    roots = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
+    found = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left")
+    return found.withColumn("lone", F.col("root").isNull()).withColumn("root", F.coalesce("root", "node"))
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tree: int = TREE) -> DataFrame:
@@ -249,31 +250,46 @@ def groups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tree: in
     Exact copies share a fingerprint and cost one row. Null, empty and blank texts have fingerprint zero, linked like any
     other; null ids are kept but are never a component's id unless all its ids are null; repeated rows are kept. Other
     columns are ignored, an empty table gives an empty one."""
-    signed, rooted = _rooted(docs, radius, width, tree)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", "fp", "component_id")
+    signed = cut(fingerprints(docs, width))
+    distinct = cut(signed.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    rooted = cut(named(distinct, links(distinct.select(F.col("node").alias("fp")), radius, tree)))
+    joint = rooted.where("not lone")
+    least = joint.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    told = rooted.where("lone").select("node", F.col("least").alias("component_id"), "n").unionByName(spread(joint, least, ["root"], "fps").select("node", "component_id", "n"))
+    return spread(signed, told.withColumnRenamed("node", "fp"), ["fp"]).select("doc_id", "fp", "component_id")
+
+
+#: Most row numbers (longs) of dropped rows that are broadcast.
+DROPPED_ROWS = 2_000_000
+
+
+def numbered(docs: DataFrame, wide: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """``wide`` (``docs`` with the columns ``more``) written with a number for each row, and of it (row, more..., best): ``best``
+    orders rows by doc_id, nulls last, then by text, nulls first and the others by hash."""
+    row = fresh(wide.columns, "row")
+    table = written(wide.withColumn(row, F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text").isNotNull().alias("c"), F.xxhash64("text").alias("d"), F.col(row).alias("row"))
+    return table.select(*_all(docs), F.col(row).alias(row)), table.select(F.col(row).alias("row"), *[F.col(m) for m in more], order.alias("best"))
+
+
+def keep_first(table: DataFrame, rows: DataFrame, best: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows of ``table`` whose number (its last column) is that of a struct ``best``. Numbers alone are shuffled;
+    the texts stay where they are as long as the dropped numbers are few enough to be broadcast."""
+    number = table.columns[-1]
+    dropped = cut(rows.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti").withColumnRenamed("row", number))
+    few = F.broadcast(dropped) if dropped.count() <= DROPPED_ROWS else dropped
+    return table.join(few, number, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tree: int = TREE) -> DataFrame:
-    """``docs`` with one row of each group: the row of the smallest doc_id (of its repeats in the group, the first by text).
-
-    A doc_id that is one row's alone says which row is meant. Rows of null and of repeated ids are told apart by their
-    fingerprints, which are made again for them only, and reduced by aggregation, whatever the number of such rows."""
-    signed, rooted = _rooted(docs, radius, width, tree)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # a fingerprint has rows of the component's id if that is its own least id
-    chosen = cut(rooted.join(least, "root").where(F.col("least").eqNullSafe(F.col("component_id"))).select("root", F.col("least").alias("id"), F.col("fp").alias("its_fp")))
-    rows = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg((F.count(F.lit(1)) > 1).alias("many"))
-    ident, many, line, fp, row = (fresh([*docs.columns, "root", "id", "its_fp"], c) for c in ("kept_id", "many", "line", "fp_of", "row"))
-    marks = chosen.select("id").distinct().join(rows, "id").select(F.col("id").alias(ident), F.col("many").alias(many))
-    kept = docs.join(marks, F.col("doc_id") == F.col(ident))
-    single = kept.where(~F.col(many)).select(*_all(docs))
-    rest = kept.where(many).select(*_all(docs)).unionByName(docs.where("doc_id is null")).withColumn(line, F.col("text").cast("string"))
-    signs = widen(rest, fp, "long", lambda: lambda texts: pa.array(fingerprints_of(texts, width).view(np.int64)), column_read=line)
-    first = lambda value, text: F.min_by(value, F.struct(text)).alias(row)
-    copies = signs.groupBy(F.col("doc_id").alias(ident), fp).agg(first(F.struct(*_all(docs)), F.col(line)))
-    groups_of = copies.join(chosen, F.col(ident).eqNullSafe(F.col("id")) & (F.col(fp) == F.col("its_fp")))
-    return single.unionByName(groups_of.groupBy("root").agg(first(F.col(row), F.col(row)["text"].cast("string"))).select(f"{row}.*"))
+    """``docs`` with one row of each group of ``groups``: the row of the smallest doc_id, nulls last (of its repeats in the group,
+    a null text first, then the least hash of the text)."""
+    fp = fresh(docs.columns, "signature")
+    wide = widen(docs.withColumn(fresh([*docs.columns, fp], "line"), F.col("text").cast("string")), fp, "long", lambda: lambda texts: pa.array(fingerprints_of(texts, width).view(np.int64)), column_read=fresh([*docs.columns, fp], "line"))
+    table, rows = numbered(docs, wide, fp)
+    distinct = cut(rows.groupBy(F.col(fp).alias("node")).agg(F.min("best").alias("best")))
+    rooted = named(distinct, links(distinct.select(F.col("node").alias("fp")), radius, tree))
+    return keep_first(table, rows, rooted.groupBy("root").agg(F.min("best").alias("best")), docs.columns)
 
 
 def _all(df: DataFrame) -> list:

@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from almanac.llm import byte_bpe, toxicity
+from almanac.llm import byte_bpe, simhash, toxicity
+from almanac.llm.queries import QUERIES
 from tests.llm.test_mixing import brute_mix
 from tests.llm.test_simhash import brute_fp, brute_groups
+from tests.llm.test_simhash_texts import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,8 +30,26 @@ def test_shape(stages):
     assert all(df.columns == stages[0].columns and df.count() for df in stages[:-1])
 
 
+def test_quality_against_brute_force(spark, stages):
+    """The kept rows are those that op3's verdict keeps, over the same documents."""
+    verdict = {r.doc_id: r.kept for r in QUERIES["op3_quality_rules"](spark, SF).collect()}
+    before, after = stages[0].collect(), stages[1].collect()
+    assert Counter(map(str, after)) == Counter(str(r) for r in before if verdict[r.doc_id])
+    assert 0 < len(after) < len(before)
+    assert all(len((r.text or "").encode().split()) >= 50 for r in after)
+
+
 def test_near_dedup_against_brute_force(stages):
+    """Five-word shingles and a similarity of 0.8 or more, by every pair of texts."""
     before, after = stages[2].collect(), stages[3].collect()
+    assert Counter(r.doc_id for r in after) == brute_kept([(r.doc_id, r.text) for r in before])
+    texts = {r.doc_id: r.text for r in before}
+    assert all(texts[r.doc_id] == r.text for r in after)
+
+
+def test_near_dedup_by_fingerprints_against_brute_force(stages):
+    """The groups of op7, which the operator keeps one row of if asked to."""
+    before, after = stages[2].collect(), simhash.near_dedup(stages[2]).collect()
     least = {c for _, _, c in brute_groups([(r.doc_id, brute_fp(r.text)) for r in before])}
     assert Counter(r.doc_id for r in after) == Counter(least)
     texts = {r.doc_id: r.text for r in before}
