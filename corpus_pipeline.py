@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import byte_bpe, mixing, quality, simhash, toxicity
+from almanac.llm import byte_bpe, mixing, quality, simhash_texts, toxicity
 from almanac.llm.common import checkpoint_folder, read
 
 
@@ -22,9 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the smallest doc_id. Groups are those of ``op7``: 3-word shingles and
-    at most 3 differing bits, which misses most pairs of a 5-word Jaccard similarity just over 0.8 (figures in the README)."""
-    return simhash.near_dedup(docs)
+    """One document of each near-duplicate group, the one of the smallest doc_id: five-word shingles, a similarity of 0.8 or more."""
+    return simhash_texts.dedup_texts(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet to the shared checkpoint folder and read again."""
+    """All stages over ``documents``; each is written as Parquet to the shared checkpoint folder and read again. The result is read
+    from there too, so the folder is left to its owner, like checkpoints."""
     docs, folder = read(spark, sf_dir, "documents"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
