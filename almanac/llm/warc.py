@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.llm.common import bounded, ranged
+from almanac.llm.common import bounded, cut, ranged, spread
 
 #: Headers that describe a connection or a payload, which a not-modified answer must not change (RFC 9110, 9111).
 NOT_MERGED = (
@@ -73,6 +73,22 @@ def latest_before(records: DataFrame) -> DataFrame:
     return here.where("not full").join(bounded(carried), ["pid", "canonical"], "left").select("record_id", F.coalesce("found", "carried")["record_id"].alias("source_id"))
 
 
+#: Revisits of one response that meet its payload in one task; the payload is copied once for each so many.
+MEET = 4096
+
+
+def _answered(revisits: DataFrame, sources: DataFrame, full: DataFrame) -> DataFrame:
+    """``revisits`` with their ``source_id`` of ``sources`` (record_id, source_id) and its row of ``full``, or nulls. The revisits of a
+    response are dealt into lots, and its payload is sent to each, so that a popular response is many keys; revisits without a
+    response are lots of their own."""
+    counted = cut(sources.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))).withColumn("lots", F.ceil(F.col("n") / MEET).cast("int"))
+    asked = revisits.join(spread(sources, counted, ["source_id"]), "record_id", "left")
+    lot = F.pmod(F.xxhash64("record_id", "at"), F.coalesce("lots", F.lit(1 << 30))).cast("int")
+    popular = bounded(counted.where("lots > 1").select("source_id", "lots"))
+    copied = full.join(popular, "source_id", "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
+    return asked.withColumn("lot", lot).drop("lots").join(copied, ["source_id", "lot"], "left").drop("lot")
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """One row per revisit of ``records`` (record_id long, kind "response" or "revisit", url, at timestamp, status int,
     headers array<struct<name, value>>, payload): record_id, url, canonical, at, outcome, source_id, status, headers, payload.
@@ -82,10 +98,11 @@ def resolve(records: DataFrame) -> DataFrame:
     is not earlier; of responses at one time the greatest record_id counts. Null headers are none; a record_id occurs once
     among responses, and repeated revisits are all resolved. Other columns are ignored."""
     keyed = records.select("record_id", "kind", "url", canonical_url(F.col("url")).alias("canonical"), "at", "status", "headers", "payload")
-    sources = latest_before(keyed.select("record_id", "kind", "canonical", F.unix_micros("at").alias("at"))).distinct()
-    revisit = keyed.where("kind = 'revisit'").drop("payload", "status")
+    found = latest_before(keyed.select("record_id", "kind", "canonical", F.unix_micros("at").alias("at"))).where("source_id is not null").distinct()
+    sources = cut(found)
+    revisit = keyed.where("kind = 'revisit'").drop("payload", "status", "kind")
     full = keyed.where("kind = 'response'").select(F.col("record_id").alias("source_id"), "status", F.col("headers").alias("stored"), "payload")
-    linked = revisit.join(sources, "record_id", "left").join(full, "source_id", "left")
+    linked = _answered(revisit, sources, full)
     outcome = F.when(F.col("canonical").isNull() | F.col("at").isNull(), "no_url").when(F.col("source_id").isNull(), "no_earlier").otherwise(agreement(F.col("stored"), F.col("headers")))
     whole = F.col("outcome") == "merged"
     return linked.withColumn("outcome", outcome).select(

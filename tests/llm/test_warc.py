@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from almanac.llm import warc
@@ -50,7 +51,9 @@ def test_outcomes_and_merging(spark):
     assert resolve(spark, rows)[5].source_id == 12  # of responses at one time, the greatest id
 
 
-def test_hot_url_against_brute_force(spark):
+@pytest.mark.parametrize("meet", [4096, 5])
+def test_hot_url_against_brute_force(spark, monkeypatch, meet):
+    monkeypatch.setattr(warc, "MEET", meet)
     rows, want = [], {}
     answers = [(i, i % 37 * 10 + i % 3) for i in range(0, 900, 3)]
     rows += [(i, "response", "http://hot.com/", h, [("ETag", "x")], f"b{i}") for i, h in answers]
@@ -69,3 +72,9 @@ def test_empty_and_repeats(spark):
     rows = [(1, "response", "http://a.com", 0, [("etag", "x")], "p")] + [(2, "revisit", "http://a.com", 1, [("etag", "x")], None)] * 3
     df = spark.createDataFrame([(i, k, u, T + timedelta(hours=h), 200, hs, p, 0, 0) for i, k, u, h, hs, p in rows], SCHEMA)
     assert [(r.record_id, r.payload) for r in warc.resolve(df).collect()] == [(2, "p")] * 3
+
+
+def test_clashing_columns_are_ignored(spark):
+    rows = [(1, "response", "http://a.com", T, 200, [("etag", "x")], "p", "a", 1, 2), (2, "revisit", "http://a.com", T + timedelta(hours=1), 304, [("etag", "x")], None, "b", 3, 4)]
+    df = spark.createDataFrame(rows, SCHEMA.split(", canonical")[0] + ", outcome string, lot int, lots int")
+    assert [(r.record_id, r.outcome, r.source_id, r.payload) for r in warc.resolve(df).collect()] == [(2, "merged", 1, "p")]
