@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from almanac.llm.common import bounded, cut
 
-#: Rows of an index block, queries of a query block, and query blocks that meet an index block in one task; low bits that the
-#: slices leave out.
-ROWS, QUERIES, TEAM, DROPPED = 8_192, 512, 32, 1
+#: Most and least rows of an index block, queries of a query block, and query blocks that meet an index block in one task; low
+#: bits that the slices leave out.
+ROWS, LEAST, QUERIES, TEAM, DROPPED = 16_384, 1_024, 512, 32, 1
 
 
 def quantise(column: Column, scale: int = 256) -> Column:
@@ -33,7 +33,7 @@ def quantise(column: Column, scale: int = 256) -> Column:
 
 
 class Index:
-    """The bit slices of ``rows`` (n, d) int64."""
+    """The bit slices of ``rows`` (n, d) int64: row ``first[a] + b`` of ``slices`` is bit b of attribute a, ``bits[a]`` of them."""
 
     def __init__(self, rows: np.ndarray, dropped: int = DROPPED):
         self.rows, (n, d) = rows, rows.shape
@@ -42,55 +42,64 @@ class Index:
         above = (rows - self.low).astype(np.uint64)
         self.top = above.max(0).astype(np.int64) if n else self.low
         self.dropped = dropped if d and n and int(self.top.max()) >> dropped else 0
-        self.slices: list[np.ndarray] = []
+        self.bits = np.array([max(0, int(t).bit_length() - self.dropped) for t in self.top], np.int64)
+        self.first = np.cumsum(self.bits) - self.bits
+        own = np.zeros((int(self.bits.sum()), self.words * 64), np.uint8)
         for a in range(d):
-            bits = max(0, int(self.top[a]).bit_length() - self.dropped)
-            own = np.zeros((bits, self.words * 64), np.uint8)
-            own[:, :n] = (above[:, a] >> np.arange(self.dropped, self.dropped + bits, dtype=np.uint64)[:, None]) & np.uint64(1)
-            self.slices.append(np.packbits(own, axis=1, bitorder="little").view(np.uint64))
+            places = np.arange(self.dropped, self.dropped + int(self.bits[a]), dtype=np.uint64)
+            own[self.first[a] : self.first[a] + self.bits[a], :n] = (above[:, a] >> places[:, None]) & np.uint64(1)
+        self.slices = np.packbits(own, axis=1, bitorder="little").view(np.uint64)
         self.valid = np.zeros(self.words * 64, np.uint8)
         self.valid[:n] = 1
         self.valid = np.packbits(self.valid, bitorder="little").view(np.uint64)
 
-    def score_slices(self, query: list[int]) -> tuple[list[np.ndarray], int]:
+    def _summands(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, slice, whether inverted) of every bitmap to be added, by place: each slice once for each signed digit of its
+        attribute's component (non-adjacent form: few digits, each 1 or -1)."""
+        size, digits = np.abs(query), []
+        place = 0
+        while size.any():
+            digit = np.where(size & 1, 2 - (size & 3), 0)
+            a = np.flatnonzero(digit)
+            digits.append((np.full(len(a), place), a, (digit[a] > 0) != (query[a] > 0)))
+            size = (size - digit) >> 1
+            place += 1
+        if not digits:
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+        place, a, inverted = (np.concatenate(x) for x in zip(*digits, strict=True))
+        n = self.bits[a]
+        b = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(place, n) + b
+        order = np.argsort(place, kind="stable")
+        return place[order], (np.repeat(self.first[a], n) + b)[order], np.repeat(inverted, n)[order]
+
+    def score_slices(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices, least significant first, of sum(q * (u >> dropped)) + a constant, and the most by which the true score in
-        units of 1 << dropped exceeds it: slices of negative digits are added inverted, so that everything stays positive."""
-        columns: dict[int, list[np.ndarray]] = {}
-        error = 0
-        for a, q in enumerate(query):
-            bits = self.slices[a]
-            error += abs(q) * min(int(self.top[a]), (1 << self.dropped) - 1)
-            size, place = abs(q), 0
-            while size:  # non-adjacent form: few digits, each 1 or -1
-                if size & 1:
-                    digit = 2 - (size & 3)
-                    size -= digit
-                    plus = (digit > 0) == (q > 0)
-                    for b in range(len(bits)):
-                        columns.setdefault(place + b, []).append(bits[b] if plus else ~bits[b])
-                size >>= 1
-                place += 1
-        out, place = [], 0
-        while columns:
-            stack = columns.pop(place, [])
-            carries = columns.get(place + 1, [])
+        units of 1 << dropped exceeds it: slices of negative digits are added inverted, so that everything stays positive.
+        Bitmaps of one place are added three by three, all triples at once."""
+        error = sum(abs(q) * min(t, (1 << self.dropped) - 1) for q, t in zip(query.tolist(), self.top.tolist(), strict=True))
+        places, which, inverted = self._summands(query)
+        out, carried, place = [], [], 0
+        last = int(places[-1]) if len(places) else -1
+        while place <= last or carried:
+            a, b = np.searchsorted(places, [place, place + 1])
+            own = self.slices[which[a:b]]
+            own[inverted[a:b]] ^= ~np.uint64(0)
+            stack, carried = np.concatenate([own, *carried]), []
             while len(stack) >= 3:  # full adders: three bitmaps become a sum and a carry
-                x, y, z = stack.pop(), stack.pop(), stack.pop()
+                k = len(stack) // 3
+                x, y, z = stack[:k], stack[k : 2 * k], stack[2 * k : 3 * k]
                 t = x ^ y
-                carries.append((x & y) | (t & z))
-                t ^= z
-                stack.append(t)
+                carried.append((x & y) | (t & z))
+                stack = np.concatenate([t ^ z, stack[3 * k :]])
             if len(stack) == 2:
-                x, y = stack
-                carries.append(x & y)
-                stack = [x ^ y]
-            if carries:
-                columns[place + 1] = carries
-            out.append(stack[0] if stack else np.zeros(self.words, np.uint64))
+                carried.append(stack[:1] & stack[1:])
+                stack = stack[:1] ^ stack[1:]
+            out.append(stack[0] if len(stack) else np.zeros(self.words, np.uint64))
             place += 1
         return out, error
 
-    def candidates(self, query: list[int], k: int) -> np.ndarray:
+    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows (ascending) that may be among the ``k`` best: those whose score is not below the k-th best by over the error."""
         slices, error = self.score_slices(query)
         better, equal, threshold = np.zeros(self.words, np.uint64), self.valid.copy(), 0
@@ -120,7 +129,7 @@ class Index:
 
     def best(self, query: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and exact scores of the ``k`` best rows without ``skip``, ties to the earlier row."""
-        rows = self.candidates(query.tolist(), k + (0 if skip is None else len(skip)))
+        rows = self.candidates(query, k + (0 if skip is None else len(skip)))
         if skip is not None and len(skip):
             rows = rows[~np.isin(rows, skip)]
         score = self.rows[rows] @ query
@@ -135,7 +144,7 @@ def _search(k: int):
         for batch in batches:
             for p, side, d, i, v in zip(*(batch.column(c) for c in ("pair", "side", "dim", "ids", "vectors")), strict=True):
                 i, raw = np.frombuffer(i.as_py(), np.int64), v.as_py()
-                rows = np.frombuffer(raw, np.int32 if len(raw) == 4 * len(i) * d.as_py() else np.int64).reshape(len(i), -1).astype(np.int64)
+                rows = np.frombuffer(raw, np.int32 if len(raw) == 4 * len(i) * d.as_py() else np.int64).reshape(len(i), d.as_py()).astype(np.int64)
                 if side.as_py() == 0:
                     pair, ids, index = p.as_py(), i, Index(rows)
                 elif pair == p.as_py():
@@ -189,11 +198,15 @@ def _pack(rows: int):
 
 
 def blocks(vectors: DataFrame, rows: int, width: int) -> DataFrame:
-    """(dim, block, ids, vectors): rows of equal dimension in blocks of at most ``rows``, sorted by id inside. They are cut,
-    since which rows share a block may change from one evaluation to the next."""
-    parts = max(1, min(width, -(-vectors.count() // rows)))
-    packed = vectors.repartition(parts).mapInArrow(_pack(rows), "dim int, number int, ids binary, vectors binary")
-    return cut(packed.select("dim", F.struct(F.spark_partition_id().alias("part"), "number").alias("block"), "ids", "vectors"))
+    """(dim, block, ids, vectors): rows of equal dimension in blocks of at most ``rows`` (fewer where that gives every task one),
+    sorted by id inside, numbered from 0. They are cut, since which rows share a block may change from one evaluation to
+    the next. The numbers come from one row for each partition."""
+    n = vectors.count()
+    rows = min(rows, max(LEAST, -(-n // width)))
+    packed = vectors.repartition(max(1, min(width, -(-n // rows)))).mapInArrow(_pack(rows), "dim int, number int, ids binary, vectors binary")
+    done = cut(packed.withColumn("part", F.spark_partition_id()))
+    before = done.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(W.orderBy("part")) - F.col("n"))
+    return done.join(bounded(before.select("part", "before")), "part").select("dim", (F.col("before") + F.col("number")).alias("block"), "ids", "vectors")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS, per: int = QUERIES) -> DataFrame:
@@ -201,18 +214,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS,
     (same columns) by integer inner product, ties to the smaller vec_id; rows of the query's own id are no candidates.
 
     Blocks of candidates meet blocks of queries, and only the k best of each meeting go on, so no vectors are broadcast or
-    collected; an index block is sent once for every ``TEAM`` query blocks, a query block once for every index block. Null vectors take no part; vectors of different dimension never meet; a repeated vec_id is a candidate as
-    often as it occurs; a repeated query is asked once, by its least vector. Scores must fit a long."""
+    collected; an index block is sent once for every ``TEAM`` query blocks, a query block once for every index block. Meetings
+    are numbered and dealt by range of their number, so that tasks have equally many. Null vectors and ids take no part; empty
+    vectors score 0 with each other; vectors of different dimension never meet; a repeated vec_id is a candidate as often as
+    it occurs; a repeated query is asked once, by its least vector. Scores must fit a long."""
     width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clean = lambda df: df.where("vec_id is not null and q is not null and size(q) > 0").select("vec_id", "q")
+    clean = lambda df: df.where("vec_id is not null and q is not null").select("vec_id", "q")
     index = blocks(clean(vectors), rows, width)
     asked = blocks(clean(queries).groupBy("vec_id").agg(F.min("q").alias("q")), per, width)
     teams = max(1, -(-asked.count() // TEAM))
     cells = index.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(teams - 1))).alias("team"))
-    one = index.join(cells, ["dim", "block"]).select(F.struct("block", "team").alias("pair"), F.lit(0).alias("side"), "dim", "ids", "vectors")
-    grouped = asked.withColumn("team", F.pmod(F.xxhash64("block"), F.lit(teams)).cast("int"))
-    meets = bounded(cells.select(F.col("dim").alias("d"), F.col("block").alias("cell"), F.col("team").alias("t")))
-    two = grouped.join(meets, (F.col("dim") == F.col("d")) & (F.col("team") == F.col("t"))).select(F.struct(F.col("cell").alias("block"), "team").alias("pair"), F.lit(1).alias("side"), "dim", "ids", "vectors")
-    met = one.unionByName(two).withColumn("pair", F.xxhash64("pair")).repartition(width, "pair").sortWithinPartitions("pair", "side").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    pair = (F.col("block") * teams + F.col("team")).alias("pair")
+    one = index.withColumn("team", F.explode(F.sequence(F.lit(0), F.lit(teams - 1)))).select(pair, F.lit(0).alias("side"), "dim", "ids", "vectors")
+    meets = bounded(cells.select(F.col("dim").alias("d"), F.col("team").alias("t"), pair))
+    two = asked.withColumn("team", F.pmod("block", F.lit(teams))).join(meets, (F.col("dim") == F.col("d")) & (F.col("team") == F.col("t"))).select("pair", F.lit(1).alias("side"), "dim", "ids", "vectors")
+    met = one.unionByName(two).repartitionByRange(width, "pair").sortWithinPartitions("pair", "side").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
