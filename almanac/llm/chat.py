@@ -16,7 +16,9 @@ class Template:
     """How turns are written. ``open`` + role + ``header_end`` + text + ``close`` for each turn.
 
     ``transitions`` maps (state, role) to the next state; a role without an entry leads to the dead state. ``accepting``
-    states may end a conversation. ``loss_roles`` are those whose texts are learnt."""
+    states may end a conversation. ``loss_roles`` are those whose texts are learnt. A template whose output could not be read
+    back is refused: ``open`` and ``close`` must hold a control string, ``header_end`` a line feed or a control string, and
+    control strings, nine at most, must not hold a backslash or begin with a digit."""
 
     open: str = "### "
     header_end: str = "\n"
@@ -36,6 +38,13 @@ class Template:
     accepting: tuple[str, ...] = ("answered",)
     loss_roles: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        held = lambda text: any(c in text for c in self.controls)
+        if len(self.controls) > 9 or any(not c or "\\" in c or c[0].isdigit() for c in self.controls):
+            raise ValueError("at most nine control strings, none empty, with a backslash or with a digit first")
+        if not held(self.open) or not held(self.close) or not (held(self.header_end) or "\n" in self.header_end):
+            raise ValueError("texts or roles could hold what opens or closes a turn")
+
 
 def escape(text: Column, template: Template) -> Column:
     r"""``\`` becomes ``\0``, a line feed in a role ``\n`` (see ``escape_role``) and the i-th control string ``\i``."""
@@ -63,7 +72,8 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     Turns are ordered by turn, then role, then text, nulls first, so ties and repeated rows have one outcome; a repeated row
     is a turn of its own. Null texts and roles are empty. Conversations with an invalid order are formatted too, with
     ``valid`` false and the index (from 0) of the first turn without a transition in ``first_bad_turn`` (null if the order
-    only ends in a state that does not accept). Other columns of ``turns`` are ignored; no rows give no rows."""
+    only ends in a state that does not accept). Other columns of ``turns`` are ignored; no rows give no rows. A conversation
+    becomes one row, so each must fit in one."""
     t = template or Template()
     moves = F.create_map(*[F.lit(x) for (state, role), to in t.transitions.items() for x in (f"{state}\n{role}", to)])
     step = lambda acc, turn: F.struct(

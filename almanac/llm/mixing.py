@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     Sources by code point, nulls last, weigh ``weights`` in turn. Targets stop at ``epochs`` times the source's size; what is
     above is shared again by weight until none is above. The end of that is a water level, which is found without a loop: by
     rising ratio of cap to weight, the first source that the level of the rest doesn't drown sets it. The arithmetic is in
-    whole numbers up to one division. One row per source: the windows run over that small table."""
+    whole numbers up to one division. The windows run over one row of some 60 bytes per source, in one task, so sources may be
+    in the millions but not as many as documents."""
     num, den = share
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1) % len(weights) + 1).cast("int")).cast("long")
     rising = W.orderBy(F.col("source_size") * 1.0 / F.col("weight"), F.asc_nulls_last("source"))
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
 
     The last document of a source's budget is taken in part, so a source gives floor(target) words. Null texts have size 0
     and take 0; null ids and sources are values of their own, sources last. Rows that repeat (source, doc_id, size) fill
-    the cut one after another. An empty table gives an empty one. The name of the new column is in ``mix_column``."""
+    the cut one after another, by the hash of their text. An empty table gives an empty one. The name of the new column is in ``mix_column``."""
     name = mix_column(docs)
     sized = cut(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), hash_key(F.col("doc_id")).alias("key")))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     others = [F.col(f"l.`{c}`") for c in docs.columns]
     at_cut = F.coalesce(row.eqNullSafe(F.col("c.cut")), F.lit(False))
     whole = joined.where(~at_cut).select(*others, out(F.when(F.col("c.cut").isNotNull() & (row < F.col("c.cut")), F.col(f"l.{name}.size")).otherwise(0)).alias(name))
-    nth = F.row_number().over(W.partitionBy(F.col("c.source")).orderBy(F.lit(1))) - 1
+    nth = F.row_number().over(W.partitionBy(F.col("c.source")).orderBy(F.xxhash64("l.text"), F.length("l.text"))) - 1
     part = ending.where(at_cut).select(*others, out(F.greatest(F.lit(0), F.least(F.col(f"l.{name}.size"), F.col("c.cut_words") - nth * F.col(f"l.{name}.size")))).alias(name))
     return whole.unionByName(part)
 

@@ -1,14 +1,13 @@
 """Token counts by rank-synchronous array merging.
 
-Texts are cut into pre-tokens that no vocabulary piece can span. New pre-tokens of a batch lie in one ragged array of symbol
-ids; each turn finds the lowest-rank pair of every sequence, applies it in all sequences at once, and closes the gaps; what
-survives is counted. Counts are remembered by pre-token up to a bound."""
+Texts are cut into pre-tokens that no vocabulary piece can span. New pre-tokens of a batch, of any length, lie in one ragged
+array of symbol ids; each turn finds the lowest-rank pair of every sequence, applies it in all sequences at once, and closes
+the gaps; what survives is counted. Counts are remembered by pre-token up to a bound."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -18,31 +17,39 @@ from almanac.llm.common import fresh, widen
 
 SPACE = "▁"  # stands for a space inside pieces
 REMEMBERED = 400_000
-#: Longest word, in symbols, that is merged in arrays.
-LONG = 256
-NONE = np.iinfo(np.int64).max
+NEVER = np.iinfo(np.int64).max
+NONE = NEVER - 1
 
 
 @dataclass
 class Vocabulary:
     """``cost`` of a single character: 1 if it is a piece, else its UTF-8 bytes (byte fallback). ``pair``: sorted keys
-    a * size + b of the pairs that make a piece, with the piece's id and rank. ``alone``: pieces after which a merge may have
-    a rank not above their own, so that their pairs are merged one by one, leftmost first. ``longest``: the longest run of
-    spaces that is a piece; ``runs``: the tokens of a run of spaces, by its length; each ``longest`` more make one more."""
+    a * size + b of the pairs that make a piece, with the piece's id and rank. ``span``: sorted keys of all pairs that some piece
+    may span, with their rank, or ``NONE`` if they make no piece themselves. ``alone``: pieces that are in a pair of a rank
+    not above their own, so that a merge of them may be followed by a merge that comes before the others. ``longest``: the
+    longest run of spaces that is a piece; ``runs``: the tokens of a run of spaces, by its length; each ``longest`` more make
+    one more."""
 
     chars: dict[str, int]
     size: int
     pair: np.ndarray
     made: np.ndarray
     rank: np.ndarray
+    span: np.ndarray
+    span_rank: np.ndarray
     alone: np.ndarray
     longest: int
     runs: list[int] = field(default_factory=list)
     known: dict[str, int] = field(default_factory=dict)
-    table: dict[int, tuple[int, int]] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "table": {}}
+        return self.__dict__ | {"known": {}}
+
+
+def _ids(ids: dict[str, int], piece: str, start: range | int, stop: range | int) -> list[int]:
+    """Ids of the pieces that are parts of ``piece`` between the places of ``start`` and ``stop``, one of which is fixed."""
+    parts = (piece[a:stop] for a in start) if isinstance(start, range) else (piece[start:b] for b in stop)
+    return [ids[x] for x in parts if x in ids]
 
 
 def load(path: str) -> Vocabulary:
@@ -70,9 +77,12 @@ def load(path: str) -> Vocabulary:
     alone = np.zeros(size, bool)
     for part in (pair // size, pair % size):
         alone[part[own[part] >= rank]] = True
+    span = np.array(sorted({a * size + b for p in pieces for i in range(1, len(p)) for a in _ids(ids, p, range(i), i) for b in _ids(ids, p, i, range(i + 1, len(p) + 1))}), np.int64)
+    span_rank = np.full(len(span), NONE)
+    span_rank[np.searchsorted(span, pair)] = rank
     longest = max(len(p) for p in pieces if not p.strip(SPACE))
     last = {s for p, s in pieces.items() if len(p) > 1 and not p.strip(SPACE)}
-    v = Vocabulary({c: i for c, i in ids.items() if len(c) == 1}, size, pair, made, rank, alone, longest)
+    v = Vocabulary({c: i for c, i in ids.items() if len(c) == 1}, size, pair, made, rank, span, span_rank, alone, longest)
     v.runs = [0, *merged_counts(v, [SPACE * k for k in range(1, 3 * longest)])[0].tolist()]
     if last != {min(pieces.values())} or any(v.runs[k + longest] != v.runs[k] + 1 for k in range(2 * longest)):
         raise ValueError("runs of spaces aren't merged last and in equal parts")
@@ -81,93 +91,72 @@ def load(path: str) -> Vocabulary:
 
 def merged_counts(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each word and whether its first symbol is a bare space at the end. Characters without a piece are symbols
-    that never merge and cost their bytes."""
+    that never merge and cost their bytes.
+
+    Symbols of all words lie in one array, cut into sequences wherever no piece can span two neighbours. Such a cut is for
+    good, so sequences get short whatever the length of their word, and each turn merges the lowest-rank pairs of all of
+    them. In one turn a sequence gives all pairs of its lowest rank, from the left, up to the first whose product makes a
+    pair of no higher rank, which must come first."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     text = "".join(words)
     symbol = np.array([v.chars.get(c, -1) for c in text], np.int64)
     unknown = symbol < 0
     cost = np.ones(len(symbol), np.int64)
     cost[unknown] = [len(text[i].encode("utf-8", "surrogatepass")) for i in np.flatnonzero(unknown).tolist()]
-    seq = np.repeat(np.arange(len(words)), n)
-    extra = np.bincount(seq, cost - 1, len(words)).astype(np.int64)
-    total, bare = n + extra, np.zeros(len(words), bool)
-    space = v.chars[SPACE]
-
-    def settle(seq: np.ndarray, symbol: np.ndarray) -> None:
-        if len(seq):
-            heads = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            total[seq[heads]] = np.diff(np.r_[heads, len(seq)]) + extra[seq[heads]]
-            bare[seq[heads]] = symbol[heads] == space
-
-    key = np.where((symbol[:-1] >= 0) & (symbol[1:] >= 0) & (seq[:-1] == seq[1:]), symbol[:-1] * v.size + symbol[1:], -1)
-    while len(seq):
-        at = np.minimum(np.searchsorted(v.pair, key), len(v.pair) - 1)
-        hit = v.pair[at] == key
-        rank = np.full(len(seq), NONE)
-        rank[:-1][hit] = v.rank[at[hit]]
-        heads = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+    word = np.repeat(np.arange(len(words)), n)
+    total = np.bincount(word, cost - 1, len(words)).astype(np.int64)
+    bare, space = np.zeros(len(words), bool), v.chars[SPACE]
+    begins = np.r_[True, word[1:] != word[:-1]] if len(word) else np.zeros(0, bool)
+    seq = word.copy()
+
+    def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of pairs; ``NONE`` if they make no piece but a piece may span them, ``NEVER`` if none may."""
+        key = np.where((a >= 0) & (b >= 0), a * v.size + b, -1)
+        at = np.minimum(np.searchsorted(v.span, key), len(v.span) - 1)
+        return np.where(v.span[at] == key, v.span_rank[at], NEVER)
+
+    while len(symbol):
+        rank = np.full(len(symbol), NEVER)
+        rank[:-1] = np.where(seq[:-1] == seq[1:], rank_of(symbol[:-1], symbol[1:]), NEVER)
+        heads = np.flatnonzero(np.r_[True, rank[:-1] == NEVER])
+        seq = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(symbol)]))
         best = np.minimum.reduceat(rank, heads)
-        sizes = np.diff(np.r_[heads, len(seq)])
-        live = np.repeat(best != NONE, sizes)
-        settle(seq[~live], symbol[~live])
-        lowest = live & (rank == np.repeat(best, sizes))
-        spot = np.flatnonzero(lowest)
-        if not len(spot):
-            break
-        made = v.made[at[spot]]
-        # sequences whose piece must be merged one by one keep only their leftmost pair
-        owner = seq[spot]
-        first = np.r_[True, owner[1:] != owner[:-1]]
-        begins = np.flatnonzero(first)
-        single = np.logical_or.reduceat(v.alone[made], begins)
-        keep = first | ~np.repeat(single, np.diff(np.r_[begins, len(spot)]))
-        spot, made = spot[keep], made[keep]
+        live = (best < NONE)[seq]
+        if not live.all():  # what can't merge any more is counted and leaves
+            done = ~live
+            total += np.bincount(word[done], minlength=len(words))
+            bare[word[done & begins & (symbol == space)]] = True
+            seq, symbol, word, rank, begins = seq[live], symbol[live], word[live], rank[live], begins[live]
+            if not len(symbol):
+                break
+        lowest = best[seq]
+        spot = np.flatnonzero(rank == lowest)
         # of pairs that overlap in a row, every other one, from the left
         broken = np.r_[True, spot[1:] != spot[:-1] + 1]
         origin = np.maximum.accumulate(np.where(broken, np.arange(len(spot)), 0))
-        even = (np.arange(len(spot)) - origin) % 2 == 0
-        spot, made = spot[even], made[even]
+        spot = spot[(np.arange(len(spot)) - origin) % 2 == 0]
+        made = v.made[np.searchsorted(v.pair, symbol[spot] * v.size + symbol[spot + 1])]
+        odd = np.flatnonzero(v.alone[made])
+        if len(odd):
+            at = spot[odd]
+            left = np.where((odd > 0) & (spot[odd - 1] == at - 2), made[odd - 1], symbol[at - 1])
+            new_left = np.where((at > 0) & (seq[at - 1] == seq[at]), rank_of(left, made[odd]), NEVER)
+            right = np.minimum(at + 2, len(symbol) - 1)
+            new_right = np.where((at + 2 == right) & (seq[right] == seq[at]), rank_of(made[odd], symbol[right]), NEVER)
+            stop = odd[np.minimum(new_left, new_right) <= rank[at]]
+            if len(stop):
+                owner = seq[spot]
+                first = np.full(int(owner[-1]) + 1, len(spot))
+                np.minimum.at(first, owner[stop], stop)
+                keep = np.arange(len(spot)) <= first[owner]
+                spot, made = spot[keep], made[keep]
         symbol[spot] = made
-        stay = live.copy()
+        stay = np.ones(len(symbol), bool)
         stay[spot + 1] = False
-        seq, symbol = seq[stay], symbol[stay]
-        key = np.where((symbol[:-1] >= 0) & (symbol[1:] >= 0) & (seq[:-1] == seq[1:]), symbol[:-1] * v.size + symbol[1:], -1)
+        seq, symbol, word, begins = seq[stay], symbol[stay], word[stay], begins[stay]
     return total, bare
 
 
-def _long_count(v: Vocabulary, word: str) -> tuple[int, bool]:
-    """As ``merged_counts`` for one word: the same merges in the same order, from a heap over linked symbols. In arrays a long
-    word would take as many turns as it has merges, each over all of it."""
-    if not v.table:
-        v.table.update(zip(v.pair.tolist(), zip(v.rank.tolist(), v.made.tolist(), strict=True), strict=True))
-    ids = [v.chars.get(c, -1) for c in word]
-    n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    find = lambda a, b: v.table.get(a * v.size + b) if a >= 0 and b >= 0 else None
-    best = [find(a, b) for a, b in zip(ids, ids[1:])] + [None]
-    heap = [(x[0], i) for i, x in enumerate(best) if x]
-    heapify(heap)
-    gone = [False] * n
-    while heap:
-        rank, i = heappop(heap)
-        if gone[i] or not best[i] or best[i][0] != rank:
-            continue
-        j = after[i]
-        k = after[i] = after[j]
-        ids[i], gone[j], best[j], best[i] = best[i][1], True, None, None
-        if k < n:
-            before[k] = i
-            if x := find(ids[i], ids[k]):
-                best[i] = x
-                heappush(heap, (x[0], i))
-        if (h := before[i]) >= 0:
-            best[h] = find(ids[h], ids[i])
-            if best[h]:
-                heappush(heap, (best[h][0], h))
-    tokens = sum(1 if ids[i] >= 0 else len(word[i].encode("utf-8", "surrogatepass")) for i in range(n) if not gone[i])
-    return tokens, n > 0 and ids[0] == v.chars[SPACE]
-
-
 #: A pre-token: spaces with what follows up to a space or line feed, or line feeds (which no piece of these models holds).
 PRE = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -179,12 +168,10 @@ def _count(v: Vocabulary, new: list[str]) -> list[int]:
         k = len(t) - len(word)
         spaces.append(k)
         words.append(SPACE + word if k and word else word)
-    filled = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
+    filled = [i for i, w in enumerate(words) if w]
     total, bare = np.zeros(len(new), np.int64), np.zeros(len(new), bool)
     if filled:
         total[filled], bare[filled] = merged_counts(v, [words[i] for i in filled])
-    for i in (i for i, w in enumerate(words) if len(w) > LONG):
-        total[i], bare[i] = _long_count(v, words[i])
     out = []
     for n, left, word, k in zip(total.tolist(), bare.tolist(), words, spaces, strict=True):
         # the word's own space is in n; if it stayed bare, it belongs to the run, else the run is one shorter

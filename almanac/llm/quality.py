@@ -112,8 +112,8 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> D
     """(stratum, rule, cutoff): a document is rejected if its score is above the cutoff; rows only where a cutoff is proven.
 
     ``measured``: doc_id, stratum, stats. ``labels``: doc_id, quality (null: no label; of several the least counts). Scores
-    are counted in per mille bins before anything is gathered, so what meets in one place is bounded by the number of strata
-    and rules and not by the documents. Cutoffs between equally good ones are taken at the middle."""
+    are counted in per mille bins before anything is gathered, so what meets in one place is at most a row for each stratum,
+    rule and one of some thousand scores, whatever the number of documents; strata are languages or the like, not ids. Cutoffs between equally good ones are taken at the middle."""
     label = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = measured.where(~base_failed(F.col("stats"))).join(label, "doc_id").select("stratum", "quality", F.inline(scores(F.col("stats"))).alias("rule", "score"))
     bins = held.groupBy("stratum", "rule", "score").agg(F.count(F.when(F.col("quality") == 1, 1)).alias("good"), F.count(F.when(F.col("quality") == 0, 1)).alias("bad"))

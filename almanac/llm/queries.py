@@ -33,7 +33,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     tagged, name = toxicity.tag(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
-    return tagged.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), f"{name}.score", f"{name}.predicted", F.size(f"{name}.spans").alias("n_spans"))
+    offsets = F.array_join(F.transform(f"{name}.spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return tagged.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), f"{name}.score", f"{name}.predicted", offsets.alias("spans"))
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,9 +208,10 @@ class Scorer:
         """Runs of tokens that are likelier toxic than not, as offsets in characters of the text."""
         out: list[dict] = []
         low = text.lower()
-        where = [m.span() for m in TOKEN.finditer(low)] if len(low) == len(text) else [m.span() for m in TOKEN.finditer(text)]
-        if len(where) != len(p):
-            return out
+        where = [m.span() for m in TOKEN.finditer(low)]
+        if len(low) != len(text):  # a few letters are longer in lower case
+            origin = [i for i, c in enumerate(text) for _ in c.lower()]
+            where = [(origin[a], origin[b - 1] + 1) for a, b in where]
         before = -2
         for i in np.flatnonzero(p >= 0.5).tolist():
             if i == before + 1:

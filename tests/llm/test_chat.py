@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from almanac.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, segments string, valid int"
@@ -56,3 +58,10 @@ def test_segments_join_to_the_output(spark):
     r = chat.format_conversations(df).first()
     assert r.formatted == "".join(s.text for s in r.segments) == "### user\nq\n</turn>\n### assistant\na\n</turn>\n"
     assert [s.text for s in r.segments if s.loss] == ["a"]
+
+
+def test_templates_that_could_not_be_read_back_are_refused():
+    for odd in (dict(controls=("###",)), dict(header_end=": "), dict(controls=("###", "</turn>", "1")), dict(controls=("###", "</turn>", "a\\b")), dict(controls=("###", "</turn>", *"abcdefgh"))):
+        with pytest.raises(ValueError):
+            chat.Template(**odd)
+    chat.Template(header_end=" ###: ")
