@@ -69,6 +69,15 @@ MEMBER_HOSTS = "amvets vfw americanlegion eagleslodge eaglesclub mooselodge elks
 DAY_WORDS = ("mondays?", "tuesdays?", "wednesdays?", "thursdays?", "fridays?", "saturdays?", "sundays?")
 
 
+#: A word's edge by ASCII letters, digits and "_" alone; to Java's own, an accented letter belongs to the word too.
+EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
+def says(text: Column, pattern: str) -> Column:
+    """The text has a match, words ending where a letter is not plain ASCII."""
+    return text.rlike(pattern.replace(r"\b", EDGE))
+
+
 def without_urls(text: Column) -> Column:
     return F.regexp_replace(text, URLS, " ")
 
@@ -79,7 +88,7 @@ def offer_hour(text: Column) -> Column:
 
 def offer_signal(text: Column) -> Column:
     t = without_urls(text)
-    return F.coalesce(t.rlike(OFFER_HOUR) | t.rlike(DEAL), F.lit(False))
+    return F.coalesce(t.rlike(OFFER_HOUR) | says(t, DEAL), F.lit(False))
 
 
 def offer_match(text: Column) -> Column:
@@ -95,11 +104,11 @@ def price_count(text: Column) -> Column:
 
 def price_signal(text: Column) -> Column:
     t = without_urls(text)
-    return F.coalesce(t.rlike(PRICE) | t.rlike(DEAL_WORDS), F.lit(False))
+    return F.coalesce(t.rlike(PRICE) | says(t, DEAL_WORDS), F.lit(False))
 
 
 def alcohol_content(text: Column) -> Column:
-    return F.coalesce(text.rlike(f"(?i){ALCOHOL}"), F.lit(False))
+    return F.coalesce(says(text, f"(?i){ALCOHOL}"), F.lit(False))
 
 
 def squatter(html: Column) -> Column:
@@ -115,12 +124,12 @@ def parked(text: Column) -> Column:
 
 
 def food_as_drink(text: Column) -> Column:
-    return F.coalesce(text.rlike(FOOD) & ~text.rlike(DRINK), F.lit(False))
+    return F.coalesce(says(text, FOOD) & ~says(text, DRINK), F.lit(False))
 
 
 def named_days(text: Column) -> Column:
     """ISO days that the text names in full."""
-    return F.filter(F.array(*[F.when(text.rlike(rf"(?i)\b{w}\b"), i) for i, w in enumerate(DAY_WORDS, 1)]), lambda d: d.isNotNull())
+    return F.filter(F.array(*[F.when(says(text, rf"(?i)\b{w}\b"), i) for i, w in enumerate(DAY_WORDS, 1)]), lambda d: d.isNotNull())
 
 
 def machine_text(text: Column) -> Column:

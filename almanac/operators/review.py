@@ -18,7 +18,7 @@ WALL_STATUSES = (401, 403, 406, 429)
 def public_note(notes: Column) -> Column:
     """Notes that may be shown: those that state a restriction."""
     n = F.trim(notes)
-    return F.when(n.rlike(RESTRICTION), n)
+    return F.when(signals.says(n, RESTRICTION), n)
 
 
 def area_of_address(components: Column, city: Column) -> Column:

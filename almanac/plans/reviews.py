@@ -9,7 +9,6 @@ from almanac.operators import gates, review, tables
 from almanac.operators.windows import window_struct
 from almanac.plans import inputs as i
 from almanac.plans.catalogue import query
-from almanac.plans.more import cases
 from almanac.session import table
 
 t = table
@@ -23,20 +22,6 @@ def _no(kind):
     return F.array().cast(f"array<{kind}>")
 
 
-cases("f31_public_note", review.public_note, (" Dine-in only ", "Dine-in only"), ("great vibes", None), ("21+ after 9", "21+ after 9"), (None, None))
-cases("f41_area_of_address", lambda c: review.area_of_address(F.array(F.struct(c.alias("text"), F.array(F.lit("sublocality")).alias("types"))), F.lit("Tacoma")), ("North  End", "North End"), ("tacoma", None), ("Parking Lot", None))
-cases("f45_url_variants", lambda c: F.array_join(review.url_variants(c), " "), ("https://a.com/x?y", "https://www.a.com/x?y http://a.com/x?y http://www.a.com/x?y"), ("http://www.a.com", "https://www.a.com/ https://a.com/ http://a.com/"), ("nope", ""))
-cases("f49_popmenu_routes", lambda c: F.array_join(review.popmenu_routes(c, F.lit("https://a.com/z")), " "), ('x "/menus/web-happy-hour?location=1" /menus/web-dinner?l=1 https://b.com/menus/web-happy?x=1', "https://a.com/menus/web-happy-hour?location=1"))
-cases("c29_source_class", lambda c: review.source_class(c, F.lit("https://www.own.com")), ("https://sirved.com/x", "denylisted_aggregator"), ("junk", "third_party"), ("https://m.facebook.com/x", "social"), ("https://own.com/y", "own"), ("https://menu.own.com", "own_subdomain"), ("https://other.com", "third_party"))
-cases("c30_consent_wall", review.consent_wall, ("Manage your consent here", True), ("menu", False), (None, False))
-cases("c30_wants_browser", lambda c: review.wants_browser(F.lit(True), F.lit(200), F.lit(False), F.lit(False), c, F.lit(0)), ("tiny shell", True), ("Daily specials", False), ("", True), ("prose " * 200, False), ("{}[]=;" * 60, True))
-cases("c30_wants_anti_bot", lambda c: review.wants_anti_bot(F.lit(True), F.lit(200), F.lit(False), F.lit(False), c, F.lit(0)), ("Just a moment", True), ("$5 beer", False), (None, True))
-cases("c21_render_escalation", lambda c: review.render_escalation(F.array(F.lit("https://a.com/happy-hour/")), F.array(c), F.array(F.lit(0))), ("https://a.com/happy-hour", "hh_page_no_offerings"), ("https://a.com/", "unread_hh_page"))
-cases("c21_escalation_route", lambda c: review.escalation_route(c.cast("int"), F.lit(False), F.array(F.struct(F.lit(False).alias("suspect"), F.lit(0).alias("n_offers")))), ("0", "skip"), ("2", "paid"))
-cases("g12_recognisability", lambda c: F.concat_ws("|", geo.recognisability(c, _none(), _none()).cast("string"), geo.place_tier(c)), ("suburb", "1|coarse"), ("quarter", "1|fine"), ("hamlet", "0|fine"))
-cases("c13_dead_end", lambda c: F.concat_ws("|", gates.dead_end(F.lit(False), _none("boolean"), c, F.lit("restaurant"), _no("string")).cast("string"), gates.dead_end(_none("boolean"), _none("boolean"), c, F.lit("restaurant"), _no("string")).cast("string")), ("Noodle House", "true|false"), ("Noodle Tavern", "false|false"))
-
-
 @query("c22_hidden_window_action", f"WITH {i.WINDOWS}, {i.HOURS} SELECT id, 'keep_hidden' AS action FROM windows WHERE NOT active AND id % 2 = 0 UNION ALL SELECT id, CASE WHEN id % 3 = 0 THEN 'delete' ELSE 'keep_hidden' END FROM windows WHERE NOT active AND id % 2 = 1 AND all_day")
 def c22(s, d):
     """Windows of even key say what they are; all-day ones are never opening hours, so only their page decides."""
