@@ -129,7 +129,8 @@ def food_as_drink(text: Column) -> Column:
 
 def named_days(text: Column) -> Column:
     """ISO days that the text names in full."""
-    return F.filter(F.array(*[F.when(says(text, rf"(?i)\b{w}\b"), i) for i, w in enumerate(DAY_WORDS, 1)]), lambda d: d.isNotNull())
+    found = F.filter(F.array(*[F.when(says(text, rf"(?i)\b{w}\b"), i) for i, w in enumerate(DAY_WORDS, 1)]), lambda d: d.isNotNull())
+    return F.when(F.lower(text).contains("day"), found).otherwise(F.array().cast("array<int>"))
 
 
 def machine_text(text: Column) -> Column:

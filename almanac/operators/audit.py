@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import signals, urls, weekly
-from almanac.operators.gates import AUTO_FIXABLE, which
+from almanac.operators.gates import AUTO_FIXABLE, let, which
 from almanac.operators.windows import reconcile
 
 
@@ -17,13 +17,15 @@ def _implausible(source: Column) -> Column:
 
 
 def _offer_codes(days: Column) -> Column:
-    text = lambda o: F.concat_ws(" ", o["name"], o["description"])
-
     def codes(o: Column) -> Column:
-        named = signals.named_days(text(o))
-        told, monthly = F.size(named) > 0, F.coalesce(text(o).rlike(signals.MONTHLY), F.lit(False))
-        match = (F.size(days) == F.size(named)) & (F.size(F.array_except(named, days)) == 0)
-        return which(((o["kind"] == "drink") & signals.food_as_drink(text(o)), "food_kinded_as_drink"), (told & monthly, "monthly_event_window"), (told & ~monthly & ~match, "day_mismatch_offering"))
+        def of(x: Column) -> Column:
+            told = F.size(x["named"]) > 0
+            monthly = told & F.coalesce(x["text"].rlike(signals.MONTHLY), F.lit(False))
+            match = (F.size(days) == F.size(x["named"])) & (F.size(F.array_except(x["named"], days)) == 0)
+            return which(((o["kind"] == "drink") & signals.food_as_drink(x["text"]), "food_kinded_as_drink"), (monthly, "monthly_event_window"), (told & ~monthly & ~match, "day_mismatch_offering"))
+
+        text = F.concat_ws(" ", o["name"], o["description"])
+        return let(F.struct(text.alias("text"), signals.named_days(text).alias("named")), of)
 
     return F.flatten(F.transform("items", codes))
 

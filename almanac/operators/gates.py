@@ -29,6 +29,11 @@ def first_of(*rules: tuple[Column, str], otherwise: str | None = None) -> Column
     return F.coalesce(*[F.when(test, name) for test, name in rules], F.lit(otherwise))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _texts(offers: Column, describe: bool = True) -> Column:
     part = lambda o: F.concat_ws(" ", o["name"], o["description"]) if describe else F.coalesce(o["name"], F.lit(""))
     return F.array_join(F.transform(offers, part), " | ")
@@ -55,30 +60,54 @@ def runs_to_close(w: Column, periods: Column) -> Column:
     return F.coalesce((w["start"] >= EVENING) & (2 * F.size(late) > F.size(closes)), F.lit(False))
 
 
+def _facts(offers: Column) -> Column:
+    """What the gates need of a window's offers."""
+    return let(
+        F.struct(_prices(offers).alias("prices"), _texts(offers).alias("texts")),
+        lambda x: F.struct(
+            F.size(offers).alias("n"),
+            x["texts"].alias("texts"),
+            _texts(offers, False).alias("names"),
+            F.size(x["prices"]).alias("priced"),
+            F.array_min(x["prices"]).alias("least"),
+            _mean(x["prices"]).alias("mean"),
+            F.forall(offers, lambda o: F.coalesce(o["kind"] == "food", F.lit(False))).alias("food"),
+        ),
+    )
+
+
+def _full_price(facts: Column) -> Column:
+    # offers are told apart by bars, which no drink's name holds, so their texts can be searched as one
+    dry = ~facts["texts"].rlike(signals.MEAL_ALCOHOL)
+    return (facts["n"] > 0) & facts["food"] & (facts["priced"] >= MENU_ITEMS) & (facts["mean"] >= MEAL_AVERAGE) & dry
+
+
 def full_price_menu(offers: Column) -> Column:
-    kinds = F.forall(offers, lambda o: F.coalesce(o["kind"] == "food", F.lit(False)))
-    dry = ~F.exists(offers, lambda o: F.concat_ws(" ", o["name"], o["description"]).rlike(signals.MEAL_ALCOHOL))
-    return (F.size(offers) > 0) & kinds & dry & (F.size(_prices(offers)) >= MENU_ITEMS) & (average_price(offers) >= MEAL_AVERAGE)
+    return let(_facts(offers), _full_price)
 
 
 def meal_signs(w: Column, offers: Column, notes: Column, source: Column, periods: Column) -> Column:
     """Why a window is a meal service and no offer: any of language, menu_to_close, lunch_price, dinner_price, midday, costly.
     The window's own words for an offer hour clear all, those of its source only what price and time suggest."""
     notes = F.coalesce(notes, F.lit(""))
-    own = signals.offer_hour(F.concat_ws(" ", _texts(offers), notes))
-    page = signals.offer_hour(F.coalesce(source, F.lit("")))
-    start, end, mean, priced = w["start"], w["end"], average_price(offers), _prices(offers)
-    forward, dear = end > start, mean > MEAL_AVERAGE
-    lunch = dear & forward & (start <= 720) & (end <= 960)
-    signs = which(
-        (F.concat_ws(" ", _texts(offers, False), notes).rlike(signals.MEAL), "language"),
-        (full_price_menu(offers) & runs_to_close(w, periods), "menu_to_close"),
-        (~page & lunch, "lunch_price"),
-        (~page & ~F.coalesce(lunch, F.lit(False)) & dear & forward & (start >= 1020) & (end >= 1260), "dinner_price"),
-        (~page & (F.size(offers) >= 1) & forward & start.between(660, 840) & (end <= 960), "midday"),
-        (~page & F.size(priced).between(1, 2) & (F.array_min(priced) >= MEAL_ITEM), "costly"),
-    )
-    return F.when(own, F.array().cast("array<string>")).otherwise(signs)
+    start, end = w["start"], w["end"]
+
+    def signs(f: Column) -> Column:
+        own = signals.offer_hour(F.concat_ws(" ", f["texts"], notes))
+        page = signals.offer_hour(F.coalesce(source, F.lit("")))
+        forward, dear = end > start, f["mean"] > MEAL_AVERAGE
+        lunch = dear & forward & (start <= 720) & (end <= 960)
+        found = which(
+            (F.concat_ws(" ", f["names"], notes).rlike(signals.MEAL), "language"),
+            (_full_price(f) & runs_to_close(w, periods), "menu_to_close"),
+            (~page & lunch, "lunch_price"),
+            (~page & ~F.coalesce(lunch, F.lit(False)) & dear & forward & (start >= 1020) & (end >= 1260), "dinner_price"),
+            (~page & (f["n"] >= 1) & forward & start.between(660, 840) & (end <= 960), "midday"),
+            (~page & f["priced"].between(1, 2) & (f["least"] >= MEAL_ITEM), "costly"),
+        )
+        return F.when(own, F.array().cast("array<string>")).otherwise(found)
+
+    return let(_facts(offers), signs)
 
 
 def bare_suspect(w: Column, offers: Column, notes: Column) -> Column:

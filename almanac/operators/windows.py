@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from almanac.functions import weekly
+from almanac.session import cut
 
 
 def window_struct(alias: str = "") -> Column:
@@ -39,7 +40,7 @@ def reconcile(windows: DataFrame, hours: DataFrame) -> DataFrame:
     that are opening hours go if they offer nothing or copy a real window's offers; windows without offers lose the days that
     an offering window covers, or go if that is most of them; of overlapping windows that contradict each other the worse
     evidenced go. Nothing is deleted: ``active`` and ``reasons`` say what became of each. Pairs are joined inside a place
-    only, after merging."""
+    only, after merging. What three steps read is cut with a checkpoint, so that windows are aggregated once."""
     merged = merge_duplicates(windows).join(hours.select("place", "periods"), "place", "left")
     opening = F.transform("periods", lambda p: p["open_day"])
     known = F.coalesce(F.size("periods"), F.lit(0)) > 0
@@ -51,6 +52,7 @@ def reconcile(windows: DataFrame, hours: DataFrame) -> DataFrame:
         .withColumn("opening_hours", F.col("shaped") & ((F.col("offers") == "") | real))
         .withColumn("active", F.col("active") & ~F.col("opening_hours"))
     )
+    shaped = cut(shaped)
     bare, offering = shaped.where("active and offers = ''"), shaped.where("active and offers <> '' and not shaped")
     covers = (
         bare.alias("b")
@@ -61,6 +63,7 @@ def reconcile(windows: DataFrame, hours: DataFrame) -> DataFrame:
     left = shaped.join(covers, ["place", "pos"], "left").withColumn("covered", F.array_intersect("days", F.coalesce("covering", F.array().cast("array<int>"))))
     most = 2 * F.size("covered") > F.size("days")
     covered = left.withColumn("cover_clip", F.size("covered") > 0).withColumn("active", F.col("active") & ~most).withColumn("days", F.when(F.col("cover_clip") & ~most, F.array_except("days", "covered")).otherwise(F.col("days")))
+    covered = cut(covered)
     a, b = "a", "b"
     live = covered.where("active").select("place", "pos", "days", "start", "end", "all_day", "offers", "area", "suspect", "shaped")
     pairs = live.alias(a).join(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,18 @@ def reachable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir``, which executors share, so that it is evaluated once and a lost
+    executor costs a read. Only a local session gets a temporary folder of its own where that is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="almanac-"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``; Catalyst prunes its columns and pushes filters into the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,18 +22,26 @@ def limit_reason(rows: DataFrame) -> DataFrame:
     """``rows`` (id, at long in microseconds, fingerprint, ip, email, risk, parent) with ``reason``: the first limit that the
     rows stored within its window before had reached, as if the row had just come; null if none. Rows with a parent don't
     count; null keys have no limit."""
-    counted = F.col("parent").isNull().cast("int")
-
-    def before(key: str, span: int, also: Column | None = None) -> Column:
-        w = W.partitionBy(key).orderBy("at").rangeBetween(-span, 0)
-        n = F.sum(counted if also is None else F.when(also, counted).otherwise(0)).over(w)
-        own = counted if also is None else F.when(also, counted).otherwise(0)
-        return F.when(F.col(key).isNotNull(), n - own).otherwise(0)
-
-    critical = F.col("risk") == "critical"
-    tests = [F.when(before(k, span) >= most, name) for k, span, most, name in STORED]
-    tests.append(F.when(critical & (before("fingerprint", DAY, critical) >= CRITICAL), "critical_day"))
-    return rows.withColumn("reason", F.coalesce(*tests))
+    critical, counted = F.col("risk") == "critical", F.col("parent").isNull().cast("int")
+    tests = [(k, span, most, name, counted) for k, span, most, name in STORED] + [("fingerprint", DAY, CRITICAL, "critical_day", F.when(critical, counted).otherwise(0))]
+    hit = {name: n >= most if name != "critical_day" else critical & (n >= most) for name, n, most in _before(tests)}
+    return rows.select("*", F.coalesce(*[F.when(hit[name], name) for *_, name, _ in tests]).alias("reason"))
+
+
+def _before(tests: list) -> Iterator[tuple[str, Column, int]]:
+    """(name, rows before, most) of each test. Rows without a key have no limit, so each stands alone: were they one group, it
+    would be one task's."""
+    for key, span, most, name, own in tests:
+        alone = F.when(F.col(key).isNull(), F.col("id"))
+        w = W.partitionBy(F.col(key), alone).orderBy("at").rangeBetween(-span, 0)
+        yield name, F.when(F.col(key).isNotNull(), F.sum(own).over(w) - own).otherwise(0), most
+
+
+def daily_reason(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, at long in microseconds, fingerprint, ip) with ``reason``: the coarse limits of a day, over all rows stored
+    in the day before; null if none was reached."""
+    tests = [(k, DAY - 1, most, name, F.lit(1)) for k, _, most, name in STORED if name in ("fingerprint_day", "ip_day")]
+    return rows.withColumn("reason", F.coalesce(*[F.when(n >= most, name) for name, n, most in _before(tests)]))
 
 
 def _slide(events: list[int], now: int) -> tuple[bool, list[int]]:
