@@ -62,10 +62,17 @@ def assign(points: DataFrame, areas: DataFrame) -> DataFrame:
 def without_near_match(left: DataFrame, right: DataFrame, match: float = 150.0, located: float = 50.0) -> DataFrame:
     """Rows of ``left`` (lat, lng, name) without a row of ``right`` within ``located`` metres, or within ``match`` by a matching
     name: an equi-join on the point's cell and its neighbours, then an anti-join."""
-    size = 2 * match / geo.METRES_PER_DEGREE  # a cell holds the reach up to 60 degrees of latitude
+    size = 2 * match / geo.METRES_PER_DEGREE
     around = F.expr("inline(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j)))))").alias("dx", "dy")
-    spread = right.select(F.col("lat").alias("rlat"), F.col("lng").alias("rlng"), F.col("name").alias("rname"), around).select("rlat", "rlng", "rname", (cell(F.col("rlng"), size) + F.col("dx")).alias("cx"), (cell(F.col("rlat"), size) + F.col("dy")).alias("cy"))
-    placed = left.withColumn("cx", cell(F.col("lng"), size)).withColumn("cy", cell(F.col("lat"), size))
+
+    def column(lng: Column, row: Column, step: Column | int = 0) -> Column:
+        """A row of cells goes round the world; it has fewer, wider cells toward the poles, each as wide as the reach at least."""
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(row * size), F.abs((row + 1) * size)))
+        n = F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / size))
+        return F.pmod(F.floor((lng + 180) * n / 360) + step, n).cast("long")
+
+    spread = right.select(F.col("lat").alias("rlat"), F.col("lng").alias("rlng"), F.col("name").alias("rname"), around).withColumn("cy", cell(F.col("rlat"), size) + F.col("dy")).withColumn("cx", column(F.col("rlng"), F.col("cy"), F.col("dx"))).drop("dx", "dy")
+    placed = left.withColumn("cy", cell(F.col("lat"), size)).withColumn("cx", column(F.col("lng"), F.col("cy")))
     metres = geo.metres(F.col("l.lat"), F.col("l.lng"), F.col("r.rlat"), F.col("r.rlng"))
     same = (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy")) & ((metres <= located) | (metres <= match) & names.names_match(F.col("l.name"), F.col("r.rname")))
     return placed.alias("l").join(spread.alias("r"), same, "left_anti").drop("cx", "cy")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from almanac.session import cut
+
 
 def equal(keys: list[str], a: str = "a", b: str = "b") -> Column:
     """Null-safe equality of columns of two aliases."""
@@ -26,8 +28,10 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], merge: dict[str, Column] | None = None) -> DataFrame:
-    """``old`` updated by ``new``: new values win where there is a row, or what ``merge`` says of ``old`` and ``new`` columns."""
-    joined = old.alias("old").join(new.alias("new"), equal(keys, "old", "new"), "full_outer").withColumn("_new", F.col(f"new.{keys[0]}").isNotNull())
+    """``old`` updated by ``new``: new values win where there is a row, or what ``merge`` says of ``old`` and ``new`` columns. Null keys
+    are equal; of rows of ``new`` with one key the greatest counts, column by column."""
+    one = best_per(new, keys, *[F.desc_nulls_last(c) for c in new.columns]).withColumn("_new", F.lit(True))
+    joined = old.alias("old").join(one.alias("new"), equal(keys, "old", "new"), "full_outer").withColumn("_new", F.coalesce("_new", F.lit(False)))
     pick = lambda c: F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")) if c in keys else (merge or {}).get(c, F.when(F.col("_new"), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")))
     return joined.select(*[pick(c).alias(c) for c in old.columns])
 
@@ -75,17 +79,16 @@ def changed_since(local: DataFrame, remote: DataFrame, cutoff: Column) -> DataFr
     return local.alias("l").join(remote.alias("r"), "id").where((F.col("l.at") > F.col("r.at")) & (F.col("l.at") > cutoff)).select("id", F.col("l.at").alias("local_at"), F.col("r.at").alias("remote_at"))
 
 
-def levels(tree: DataFrame, key: str, parent: str, deepest: int = 32) -> DataFrame:
-    """``key`` and its depth below a root (null or unknown parent), by one join a level until no level is left; nodes of cycles
-    have none."""
+def levels(tree: DataFrame, key: str, parent: str) -> DataFrame:
+    """``key`` and its depth below a root (null or unknown parent), by one join a level until no level is left, however deep; nodes
+    of cycles have none. A key that occurs at several levels counts at the first. Each level is cut, so that plans stay short."""
     nodes = tree.select(F.col(key).alias("k"), F.col(parent).alias("p"))
-    known = nodes.select(F.col("k").alias("id"))
-    at = nodes.join(known, F.col("p") == F.col("id"), "left_anti").select("k").withColumn("depth", F.lit(0))
-    out = at
-    for depth in range(1, deepest + 1):
-        at = nodes.join(at.select(F.col("k").alias("up")), F.col("p") == F.col("up")).select("k").withColumn("depth", F.lit(depth))
-        if at.isEmpty():
-            break
+    at = cut(nodes.join(nodes.select(F.col("k").alias("id")), F.col("p") == F.col("id"), "left_anti").select("k").withColumn("depth", F.lit(0)))
+    out, depth = at, 0
+    while not at.isEmpty():
+        depth += 1
+        below = nodes.join(at.select(F.col("k").alias("up")), F.col("p") == F.col("up"), "left_semi").select("k")
+        at = cut(below.join(out.select("k"), "k", "left_anti").withColumn("depth", F.lit(depth)))
         out = out.unionByName(at)
     return out.withColumnRenamed("k", key)
 
@@ -109,9 +112,12 @@ def audit_rows(before: DataFrame, after: DataFrame, key: str, columns: list[str]
     return j.where(~same).select(F.col(f"a.{key}").alias(key), image("a").alias("before"), image("b").alias("after"), F.lit(actor).alias("actor"), F.lit(reason).alias("reason"))
 
 
-def revert(current: DataFrame, audit: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def revert(current: DataFrame, audit: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
     """``current`` (with active, deleted_at) as it was before the changes in ``audit`` (key, before): fields of the image come
-    back and the row lives; a row that had no image is deleted, and so inactive."""
+    back and the row lives; a row that had no image is deleted, and so inactive. Of several changes of a key the first by
+    ``order`` counts; without it a key may occur once."""
+    if order:
+        audit = best_per(audit, [key], F.asc(order))
     kinds = ", ".join(f"{c} {current.schema[c].dataType.simpleString()}" for c in columns)
     j = current.alias("c").join(audit.select(F.col(key).alias("_k"), F.from_json("before", kinds).alias("_b"), F.col("before").isNull().alias("_gone")), F.col(f"c.{key}") == F.col("_k"), "left")
     hit, gone = F.col("_k").isNotNull(), F.coalesce(F.col("_gone"), F.lit(False))
