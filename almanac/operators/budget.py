@@ -1,4 +1,4 @@
-"""Choosing under a budget in an order where each choice depends on those before: small ordered groups, walked one by one."""
+"""Choosing under a budget in an order where each choice depends on those before."""
 
 from __future__ import annotations
 
@@ -9,40 +9,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import signals
+from almanac.operators.walk import walked
 
 
 def chunks(requests: DataFrame, most: int) -> DataFrame:
     """``requests`` (batch, pos, bytes) with ``chunk``: in order, a new one begins where the bytes would be over ``most``; what
     is larger by itself has its own."""
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        number, used, out = 0, 0, []
-        for size in frame["bytes"].tolist():
+    def begin():
+        number = used = 0
+
+        def fill(size: int) -> int:
+            nonlocal number, used
             if used and used + size > most:
                 number, used = number + 1, 0
             used += size
-            out.append(number)
-        return frame.assign(chunk=out)[["batch", "pos", "bytes", "chunk"]]
+            return number
+
+        return fill
 
-    b = dict(requests.dtypes)
-    return requests.select("batch", "pos", "bytes").groupBy("batch").applyInPandas(fill, f"batch {b['batch']}, pos {b['pos']}, bytes {b['bytes']}, chunk int")
+    return walked(requests.select("batch", "pos", "bytes"), "batch", [F.asc("pos")], ["bytes"], begin, "chunk", "int")
 
 
 def documents(docs: DataFrame, most_bytes: int, most_pages: int) -> DataFrame:
     """``docs`` (place, pos, url, bytes, score) that are taken: by score, then pos; what doesn't fit is passed over, and smaller
     ones after it may still fit."""
 
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        used, picked = 0, []
-        for row in frame.sort_values(["score", "pos"], ascending=[False, True]).itertuples():
-            if len(picked) < most_pages and used + row.bytes <= most_bytes:
-                picked.append(row.Index)
-                used += row.bytes
-        return frame.loc[picked]
+    def begin():
+        used = pages = 0
+
+        def take(size: int) -> bool:
+            nonlocal used, pages
+            fits = pages < most_pages and used + size <= most_bytes
+            used, pages = used + size * fits, pages + fits
+            return fits
+
+        return take
 
-    kinds = ", ".join(f"{n} {k}" for n, k in docs.dtypes)
-    return docs.groupBy("place").applyInPandas(take, kinds)
+    return walked(docs, "place", [F.desc("score"), F.asc("pos")], ["bytes"], begin, "_taken", "boolean").where("_taken").drop("_taken")
 
 
 def windows_of_text(pages: DataFrame, most: int, width: int = 1500) -> DataFrame:

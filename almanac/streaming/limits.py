@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from almanac.operators.walk import walked
+
 DAY, WEEK = 86_400_000_000, 7 * 86_400_000_000
 #: Fixed values: (column, window in microseconds, most, reason), the first that is reached counts.
 STORED = (("fingerprint", DAY, 10, "fingerprint_day"), ("fingerprint", WEEK, 30, "fingerprint_week"), ("ip", DAY, 20, "ip_day"), ("ip", WEEK, 60, "ip_week"), ("email", DAY, 10, "email_day"))
@@ -55,16 +57,17 @@ def sliding(attempts: DataFrame) -> DataFrame:
     """``attempts`` (key, id, at long in milliseconds) with ``allowed``. A blocked attempt uses nothing up, so each depends on
     the ones before: a key's attempts are walked in order (at, id), with at most 30 remembered."""
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "id"])
+    def begin():
         held: list[int] = []
-        allowed = []
-        for at in frame["at"].tolist():
-            ok, held = _slide(held, at)
-            allowed.append(ok)
-        return frame.assign(allowed=allowed)
 
-    return attempts.groupBy("key").applyInPandas(walk, f"{_ddl(attempts)}, allowed boolean")
+        def step(at: int) -> bool:
+            nonlocal held
+            allowed, held = _slide(held, at)
+            return allowed
+
+        return step
+
+    return walked(attempts, "key", [F.asc("at"), F.asc("id")], ["at"], begin, "allowed", "boolean")
 
 
 def sliding_stream(attempts: DataFrame) -> DataFrame:
