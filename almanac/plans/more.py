@@ -1,10 +1,10 @@
-"""Further queries: string functions over stated cases, listings, and composites."""
+"""Further queries: listings and composites."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.functions import geo, names, pages, signals, urls, weekly
+from almanac.functions import geo, names, pages, urls, weekly
 from almanac.operators import budget, gates, listing, spatial, tables
 from almanac.plans import inputs as i
 from almanac.plans.catalogue import query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.functions import geo
 from almanac.operators import gates, review, tables
 from almanac.operators.windows import window_struct
 from almanac.plans import inputs as i
