@@ -221,7 +221,7 @@ def f44(s, d):
 # ---- gates
 
 
-@query("c5_operating_hours")
+@query("c5_operating_hours", f"WITH {i.WINDOWS}, {i.HOURS}, {i.OPERATING} SELECT id, operating FROM operating")
 def c5(s, d):
     return prepared(s, d).select("id", weekly.operating_hours(W(), PERIODS()).alias("operating"))
 
@@ -290,11 +290,12 @@ def c8(s, d):
 
 @query(
     "c18_flag_decision",
-    f"""WITH {i.SUBMISSIONS}, g AS (SELECT target, kind, count(DISTINCT coalesce(fingerprint, CAST(id AS VARCHAR))) FILTER (WHERE vote = 'confirm') AS c, count(DISTINCT coalesce(fingerprint, CAST(id AS VARCHAR))) FILTER (WHERE vote = 'deny') AS x, min(ts) AS opened FROM submissions WHERE id % 40 < 3 GROUP BY 1, 2)
+    f"""WITH {i.SUBMISSIONS}, g AS (SELECT target, kind, count(DISTINCT coalesce(fingerprint, CAST(id AS VARCHAR))) FILTER (WHERE vote = 'confirm') AS c, count(DISTINCT coalesce(fingerprint, CAST(id AS VARCHAR))) FILTER (WHERE vote = 'deny') AS x, min(ts) AS opened FROM (SELECT * REPLACE (id // 20 AS target) FROM submissions) GROUP BY 1, 2)
 SELECT target, kind, CASE WHEN x >= 3 THEN 'rejected' WHEN c >= 5 THEN 'confirmed' WHEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(opened) >= 14 * 86400000000 THEN 'expired' ELSE 'pending' END AS decision FROM g""",
 )
 def c18(s, d):
-    return flag_decisions(i.submissions(s, d).where("id % 40 < 3"))
+    """Every vote, on small targets of twenty events each, so that all four decisions are met."""
+    return flag_decisions(i.submissions(s, d).withColumn("target", F.floor(F.col("id") / 20)))
 
 
 @query(
@@ -303,7 +304,7 @@ def c18(s, d):
 SELECT target, kind, CASE WHEN x >= 3 THEN 'rejected' WHEN c >= 5 THEN 'confirmed' WHEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(opened) >= 14 * 86400000000 THEN 'expired' ELSE 'pending' END AS decision FROM g""",
 )
 def c18_whole(s, d):
-    """Over every vote; ``c18_flag_decision`` reads three of 40, as its SQL does."""
+    """Every vote, on a few targets with many votes each."""
     return flag_decisions(i.submissions(s, d))
 
 
@@ -379,8 +380,15 @@ def g2(s, d):
     return spatial.near_shapes(i.points(s, d), i.areas(s, d), 0.0, same=("city",)).select("id", "area")
 
 
-@query("g14_assigned_areas")
+@query(
+    "g14_assigned_areas",
+    f"""WITH {i.POINTS}, {i.AREAS}, m AS (SELECT id, area, 111195.0 * sqrt(pow(greatest(west - x, 0, x - west - 0.55) * cos(radians(y)), 2) + pow(greatest(south - y, 0, y - south - 0.55), 2)) AS metres FROM points JOIN areas USING (city)),
+r AS (SELECT *, row_number() OVER w AS k, lead(metres) OVER w AS second FROM m WHERE metres <= 1609 WINDOW w AS (PARTITION BY id ORDER BY metres, area)),
+a AS (SELECT id, area, CASE WHEN metres <= 100 THEN 'snap' ELSE 'wide' END AS stage FROM r WHERE k = 1 AND (metres <= 100 OR second IS NULL OR second >= 2 * metres OR second - metres >= 500))
+SELECT id, area, stage FROM points LEFT JOIN a USING (id)""",
+)
 def g14(s, d):
+    """No two of these areas are within snapping reach of a point, so the nearest is also the best."""
     return spatial.assign(i.points(s, d), i.areas(s, d))
 
 
@@ -435,9 +443,15 @@ def r1(s, d):
     return limits.limit_reason(i.submissions(s, d).withColumn("at", F.col("at_us"))).select("id", "reason")
 
 
-@query("r2_sliding_limiter")
+@query(
+    "r2_sliding_limiter",
+    """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) // 600000 AS "at" FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at", id) AS k FROM e),
+w AS (SELECT key, id, "at", k, true AS allowed, ["at"] AS held FROM n WHERE k = 1
+UNION ALL SELECT key, id, "at", k, few, CASE WHEN few THEN list_append(held, "at") ELSE held END FROM (SELECT n.key, n.id, n."at", n.k, held, len(list_filter(held, lambda t: n."at" - t < 60000)) < 10 AND len(list_filter(held, lambda t: n."at" - t < 3600000)) < 30 AS few FROM w JOIN n ON n.key = w.key AND n.k = w.k + 1))
+SELECT key, id, "at", allowed FROM w""",
+)
 def r2(s, d):
-    """Blocked attempts use nothing up, so no window function can state it; held against a plain version in the tests."""
+    """Blocked attempts use nothing up, so no window function can state it; the SQL walks each key's attempts by recursion."""
     e = t(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000).alias("at"))
     return limits.sliding(e)
 
@@ -467,9 +481,14 @@ def sessions(s, d):
 # ---- text windows
 
 
-@query("c26_parsed_windows")
+@query(
+    "c26_parsed_windows",
+    "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN [1, 2, 3, 4, 5] WHEN 1 THEN [6, 7] ELSE [1, 2, 3, 4, 5, 6, 7] END AS days, CAST(60 * (13 + doc_id % 5) AS INTEGER) AS start, CAST(60 * (16 + doc_id % 5) AS INTEGER) AS \"end\", true AS clean, CAST(1 + doc_id % 2 AS INTEGER) AS n_offers FROM documents",
+)
 def c26(s, d):
-    """Windows in sentences about each nation; held against fixtures in the tests."""
-    k = F.col("n_nationkey")
-    said = F.concat(F.lit("Happy hour Mon-Fri "), (k % 5 + 1).cast("string"), F.lit("-"), (k % 5 + 4).cast("string"), F.lit("pm. $5 draft beer; half-price appetizers"))
-    return text_windows.parse(t(s, d, "nation").select(k.alias("id"), said.alias("text"))).select("id", F.inline("windows")).select("id", "days", "start", "end", "clean", F.size("offers").alias("n_offers"))
+    """Windows told in whole documents, each of which ends in a sentence about an offer hour; their own texts tell of none."""
+    k = F.col("doc_id")
+    days = F.when(k % 3 == 0, "Mon-Fri").when(k % 3 == 1, "Sat & Sun").otherwise("daily")
+    offers = F.when(k % 2 == 1, ", $5 draft beer, half-price appetizers").otherwise(", $5 draft beer")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(". Happy hour "), days, F.lit(" "), (k % 5 + 1).cast("string"), F.lit("-"), (k % 5 + 4).cast("string"), F.lit("pm"), offers)
+    return text_windows.parse(t(s, d, "documents").select(k.alias("id"), said.alias("text"))).select("id", F.inline("windows")).select("id", "days", "start", "end", "clean", F.size("offers").alias("n_offers"))

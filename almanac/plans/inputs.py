@@ -60,6 +60,15 @@ HOURS = """hours AS (
   FROM customer)"""
 
 
+#: ``operating`` (id, operating) after WINDOWS and HOURS: whether a window is when its place is open. A day has one period at most.
+OPERATING = """opened AS (SELECT place, t.open_day AS day, t.open_min AS a, CASE WHEN t.close_min <= t.open_min THEN t.close_min + 1440 ELSE t.close_min END AS b FROM (SELECT place, unnest(periods) AS t FROM hours)),
+told AS (SELECT id, place, start_ AS a, CASE WHEN end_ <= start_ THEN end_ + 1440 ELSE end_ END AS b, unnest(days) AS day FROM windows),
+met AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE abs(w.a - o.a) <= 30) AS near, count(*) FILTER (WHERE least(w.b, o.b) - greatest(w.a, o.a) >= CAST(0.8 AS DOUBLE) * (o.b - o.a)) AS whole FROM told w JOIN opened o USING (place, day) GROUP BY id),
+operating AS (SELECT id, CASE WHEN all_day OR start_ IS NULL THEN false WHEN end_ IS NULL THEN coalesce(2 * near > n, false) WHEN n > 0 THEN 2 * whole > n
+    ELSE CASE WHEN end_ <= start_ THEN end_ + 1440 ELSE end_ END - start_ >= CASE WHEN start_ <= 660 THEN 360 ELSE 480 END END AS operating
+  FROM windows LEFT JOIN met USING (id))"""
+
+
 def offers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("id"),

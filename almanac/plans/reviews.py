@@ -21,24 +21,25 @@ def _no(kind):
     return F.array().cast(f"array<{kind}>")
 
 
-@query("c22_hidden_window_action", f"WITH {i.WINDOWS}, {i.HOURS} SELECT id, 'keep_hidden' AS action FROM windows WHERE NOT active AND id % 2 = 0 UNION ALL SELECT id, CASE WHEN id % 3 = 0 THEN 'delete' ELSE 'keep_hidden' END FROM windows WHERE NOT active AND id % 2 = 1 AND all_day")
+@query("c22_hidden_window_action", f"WITH {i.WINDOWS}, {i.HOURS}, {i.OPERATING} SELECT id, CASE WHEN id % 2 = 1 AND (operating OR id % 3 = 0) THEN 'delete' ELSE 'keep_hidden' END AS action FROM windows JOIN operating USING (id) WHERE NOT active")
 def c22(s, d):
-    """Windows of even key say what they are; all-day ones are never opening hours, so only their page decides."""
-    w = i.windows(s, d).join(i.hours(s, d), "place").where("not active and (id % 2 = 0 or all_day)")
+    """Every hidden window. Those of even key say what they are; of the others, opening hours and windows of a meal page go."""
+    w = i.windows(s, d).join(i.hours(s, d), "place").where("not active")
     source = F.when(F.col("id") % 3 == 0, "https://a.com/lunch").otherwise("https://a.com/")
     notes = F.when(F.col("id") % 2 == 0, "Happy hour!")
     why = review.delete_evidence(window_struct(), F.col("periods"), source, notes, F.lit(0))
     return w.select("id", F.when(why.isNotNull(), "delete").otherwise("keep_hidden").alias("action"))
 
 
-@query("c28_evidence_files", f"WITH {i.SUBMISSIONS}, f AS (SELECT target, max(ts) AS newest, bool_or(kind = 'purchase') AS cited, bool_or(vote = 'confirm' AND kind = 'view') AS alive FROM submissions WHERE id % 50 = 0 GROUP BY target) SELECT target, CASE WHEN cited OR alive THEN 'keep' WHEN epoch_us(TIMESTAMP '2024-02-20 00:00:00') - epoch_us(newest) >= 30 * 86400000000 THEN 'delete' ELSE 'keep' END AS action FROM f")
+@query("c28_evidence_files", f"WITH {i.SUBMISSIONS}, f AS (SELECT target, max(ts) AS newest, bool_or(kind = 'purchase') AS cited, bool_or(vote = 'confirm' AND kind = 'view') AS alive FROM (SELECT * REPLACE (id // 3 AS target) FROM submissions) GROUP BY target) SELECT target, CASE WHEN cited OR alive THEN 'keep' WHEN epoch_us(TIMESTAMP '2024-02-20 00:00:00') - epoch_us(newest) >= 30 * 86400000000 THEN 'delete' ELSE 'keep' END AS action FROM f")
 def c28(s, d):
-    return evidence_files(i.submissions(s, d).where("id % 50 = 0"))
+    """Every event, as files of three events each."""
+    return evidence_files(i.submissions(s, d).withColumn("target", F.floor(F.col("id") / 3)))
 
 
 @query("c28_evidence_files_whole", f"WITH {i.SUBMISSIONS}, f AS (SELECT target, max(ts) AS newest, bool_or(kind = 'purchase') AS cited, bool_or(vote = 'confirm' AND kind = 'view') AS alive FROM submissions GROUP BY target) SELECT target, CASE WHEN cited OR alive THEN 'keep' WHEN epoch_us(TIMESTAMP '2024-02-20 00:00:00') - epoch_us(newest) >= 30 * 86400000000 THEN 'delete' ELSE 'keep' END AS action FROM f")
 def c28_whole(s, d):
-    """Over every event; ``c28_evidence_files`` reads one of 50, as its SQL does."""
+    """Every event, as a few files of many events each."""
     return evidence_files(i.submissions(s, d))
 
 
@@ -69,11 +70,12 @@ def c23(s, d):
     return j.select("a.id", (~doubtful & F.col("gone").isNull()).alias("shown"))
 
 
-@query("x14_chain_gaps", f"WITH {i.WINDOWS}, p AS (SELECT c_custkey AS place, c_custkey % 3 AS chain FROM customer), c AS (SELECT DISTINCT place % 3 AS chain, days, start_, end_ FROM windows WHERE id % 500 = 0) SELECT p.place, c.days, c.start_ AS start, c.end_ AS \"end\" FROM p JOIN c USING (chain) WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE w.active AND w.place = p.place AND w.days = c.days AND w.start_ IS NOT DISTINCT FROM c.start_ AND w.end_ IS NOT DISTINCT FROM c.end_)")
+@query("x14_chain_gaps", f"WITH {i.WINDOWS}, p AS (SELECT c_custkey AS place, c_custkey // 3 AS chain FROM customer), c AS (SELECT DISTINCT place // 3 AS chain, days, start_, end_ FROM windows) SELECT p.place, c.days, c.start_ AS start, c.end_ AS \"end\" FROM p JOIN c USING (chain) WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE w.active AND w.place = p.place AND w.days = c.days AND w.start_ IS NOT DISTINCT FROM c.start_ AND w.end_ IS NOT DISTINCT FROM c.end_)")
 def x14(s, d):
-    w = i.windows(s, d)
-    places = t(s, d, "customer").select(F.col("c_custkey").alias("place"), (F.col("c_custkey") % 3).alias("chain"))
-    chains = w.where("id % 500 = 0").select((F.col("place") % 3).alias("chain"), "days", "start", "end").distinct()
+    """Chains of three places: what any of their windows says and one of them lacks."""
+    w, chain = i.windows(s, d), lambda key: F.floor(F.col(key) / 3).alias("chain")
+    places = t(s, d, "customer").select(F.col("c_custkey").alias("place"), chain("c_custkey"))
+    chains = w.select(chain("place"), "days", "start", "end").distinct()
     return review.chain_gaps(places, chains, w.where("active"))
 
 
