@@ -415,10 +415,10 @@ def g11(s, d):
     return spatial.near_any(p, p.where("id % 50 = 0"), 1500.0).select("id", "near")
 
 
-@query("j14_without_near_match", f"WITH {i.POINTS}, r AS (SELECT * FROM points WHERE id % 3 = 0), l AS (SELECT * FROM points WHERE id % 3 = 1) SELECT l.id FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE 2 * 3958.8 * 1609.344 * asin(least(1.0, sqrt(pow(sin(radians(r.y - l.y) / 2), 2) + cos(radians(l.y)) * cos(radians(r.y)) * pow(sin(radians(r.x - l.x) / 2), 2)))) <= 400)")
+@query("j14_without_near_match", f"WITH {i.POINTS}, r AS (SELECT * FROM points WHERE id % 3 = 0), l AS (SELECT * FROM points WHERE id % 3 <> 0) SELECT l.id FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE 2 * 3958.8 * 1609.344 * asin(least(1.0, sqrt(pow(sin(radians(r.y - l.y) / 2), 2) + cos(radians(l.y)) * cos(radians(r.y)) * pow(sin(radians(r.x - l.x) / 2), 2)))) <= 400)")
 def j14(s, d):
     p = i.points(s, d).select("id", F.col("y").alias("lat"), F.col("x").alias("lng"), F.lit("same name").alias("name"))
-    return spatial.without_near_match(p.where("id % 3 = 1"), p.where("id % 3 = 0"), 400.0, 50.0).select("id")
+    return spatial.without_near_match(p.where("id % 3 <> 0"), p.where("id % 3 = 0"), 400.0, 50.0).select("id")
 
 
 @query("g15_name_clusters")

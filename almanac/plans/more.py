@@ -128,11 +128,11 @@ def w13(s, d):
     return top.select(F.col("c_custkey").alias("id"), F.row_number().over(W.orderBy((F.col("c_acctbal") < 0).desc(), F.desc_nulls_last("c_acctbal"), "c_custkey")).cast("long").alias("position"))
 
 
-@query("c24_new_window_plan", f"WITH {i.WINDOWS}, n AS (SELECT * FROM windows WHERE id % 3 = 0), o AS (SELECT place, start_, end_, min(id) AS id, bool_or(active) AS active FROM windows WHERE id % 3 = 1 GROUP BY 1, 2, 3) SELECT n.id, CASE WHEN o.id IS NULL THEN 'insert' WHEN o.active THEN 'attach' ELSE 'resurrect' END AS plan FROM n LEFT JOIN o ON o.place = n.place AND o.start_ IS NOT DISTINCT FROM n.start_ AND o.end_ IS NOT DISTINCT FROM n.end_")
+@query("c24_new_window_plan", f"WITH {i.WINDOWS}, n AS (SELECT * FROM windows WHERE id % 3 = 0), o AS (SELECT place, start_, end_, min(id) AS id, bool_or(active) AS active FROM windows WHERE id % 3 <> 0 GROUP BY 1, 2, 3) SELECT n.id, CASE WHEN o.id IS NULL THEN 'insert' WHEN o.active THEN 'attach' ELSE 'resurrect' END AS plan FROM n LEFT JOIN o ON o.place = n.place AND o.start_ IS NOT DISTINCT FROM n.start_ AND o.end_ IS NOT DISTINCT FROM n.end_")
 def c24(s, d):
-    """Against what is stored under the same natural key, null times being equal."""
+    """A third of the windows against the others, which are stored, under the same natural key; null times are equal."""
     w = i.windows(s, d)
-    old = w.where("id % 3 = 1").groupBy("place", "start", "end").agg(F.bool_or("active").alias("alive")).alias("b")
+    old = w.where("id % 3 <> 0").groupBy("place", "start", "end").agg(F.bool_or("active").alias("alive")).alias("b")
     plan = F.when(F.col("alive").isNull(), "insert").when(F.col("alive"), "attach").otherwise("resurrect")
     return w.where("id % 3 = 0").alias("a").join(old, tables.equal(["place", "start", "end"]), "left").select("a.id", plan.alias("plan"))
 
