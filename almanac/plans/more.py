@@ -156,9 +156,9 @@ def f47(s, d):
     return budget.snippet(p, 100, 350)
 
 
-@query("f48_chunks", "WITH RECURSIVE r AS (SELECT doc_id % 20 AS batch, doc_id AS pos, n_chars AS bytes, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS k FROM documents), f AS (SELECT batch, pos, bytes, k, 0 AS chunk, bytes AS used FROM r WHERE k = 1 UNION ALL SELECT r.batch, r.pos, r.bytes, r.k, CASE WHEN used + r.bytes > 20000 THEN chunk + 1 ELSE chunk END, CASE WHEN used + r.bytes > 20000 THEN r.bytes ELSE used + r.bytes END FROM f JOIN r ON r.batch = f.batch AND r.k = f.k + 1) SELECT batch, pos, bytes, chunk FROM f")
+@query("f48_chunks", "WITH RECURSIVE r AS (SELECT doc_id // 100 AS batch, doc_id AS pos, n_chars AS bytes, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS k FROM documents), f AS (SELECT batch, pos, bytes, k, 0 AS chunk, bytes AS used FROM r WHERE k = 1 UNION ALL SELECT r.batch, r.pos, r.bytes, r.k, CASE WHEN used + r.bytes > 20000 THEN chunk + 1 ELSE chunk END, CASE WHEN used + r.bytes > 20000 THEN r.bytes ELSE used + r.bytes END FROM f JOIN r ON r.batch = f.batch AND r.k = f.k + 1) SELECT batch, pos, bytes, chunk FROM f")
 def f48(s, d):
-    r = t(s, d, "documents").select((F.col("doc_id") % 20).alias("batch"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("bytes"))
+    r = t(s, d, "documents").select(F.floor(F.col("doc_id") / 100).alias("batch"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("bytes"))
     return budget.chunks(r, 20_000)
 
 
