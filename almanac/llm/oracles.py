@@ -144,4 +144,57 @@ SELECT record_id, canonical, outcome, source_id,
 FROM judged
 """
 
-SQL = {"op6_warc_revisits": OP6, "op2_bit_sliced_top_k": OP2, "op3_quality_rules": OP3, "op9_chat_format": OP9, "op10_mix": OP10}
+_ROUND = """
+near{i} AS (
+  SELECT vec_id, q, arg_min(c.k, d * 16 + c.k) AS cluster, min(d) AS distance
+  FROM (SELECT v.r, v.vec_id, v.q, c.k, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i} c) c
+  GROUP BY r, vec_id, q)"""
+_MOVE = """,
+sums{i} AS (
+  SELECT cluster, place, CAST(sum(x) AS BIGINT) AS total, count(*) AS n
+  FROM (SELECT cluster, unnest(q) AS x, generate_subscripts(q, 1) AS place FROM near{i}) GROUP BY 1, 2),
+moved{i} AS (SELECT cluster AS k, list((total - ((total % n) + n) % n) // n ORDER BY place) AS q FROM sums{i} GROUP BY 1),
+c{j} AS (SELECT c{i}.k, coalesce(m.q, c{i}.q) AS q FROM c{i} LEFT JOIN moved{i} m USING (k)),"""
+OP11 = (
+    r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS k, q
+  FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM v ORDER BY h, q LIMIT 16)),"""
+    + "".join(_ROUND.format(i=i) + (_MOVE.format(i=i, j=i + 1) if i < 3 else "") for i in range(4))
+    + """
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM near3 JOIN c3 ON cluster = c3.k
+"""
+)
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+each AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM each GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+sized AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM kept GROUP BY 1),
+n AS (SELECT lang, source, term, count(*) AS n FROM each JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (
+  SELECT lang, source, coalesce(any_value(v), 0) AS v, CAST(coalesce(any_value(own), 0) AS BIGINT) AS own, coalesce(any_value(sized.n), 0) AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS own FROM n GROUP BY 1, 2) USING (lang, source) LEFT JOIN sized USING (lang) GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(n.n, 0) + 2) // (own + 2 * v) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (k.total + 2) // (lang_n + 2 * v) AS BIGINT) AS q
+  FROM g JOIN kept k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY 1, 2, 3),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts) WHERE part = 'pair' OR rank <= 10
+"""
+
+SQL = {"op11_centroid_clusters": OP11, "op13_source_divergence": OP13, "op6_warc_revisits": OP6, "op2_bit_sliced_top_k": OP2, "op3_quality_rules": OP3, "op9_chat_format": OP9, "op10_mix": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import byte_bpe, chat, html_text, mixing, piece_counts, quality, simhash, topk, toxicity, warc
+from almanac.llm import byte_bpe, centroids, chat, divergence, html_text, mixing, piece_counts, quality, simhash, token_files, topk, toxicity, warc
 from almanac.llm.common import cut, read
 from almanac.llm.oracles import SQL
 
@@ -67,6 +67,21 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "mix.*")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings").select("vec_id", centroids.quantise(F.col("embedding")).alias("q")))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder, manifest = token_files.write(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.documents(spark, folder, manifest)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -80,6 +95,9 @@ QUERIES = {
         op8_piece_counts,
         op9_chat_format,
         op10_mix,
+        op11_centroid_clusters,
+        op12_token_files,
+        op13_source_divergence,
     )
 }
 ORACLES = SQL
