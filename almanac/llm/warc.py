@@ -59,8 +59,9 @@ def agreement(stored: Column, fresh: Column) -> Column:
 
 
 def latest_before(records: DataFrame) -> DataFrame:
-    """(record_id, source_id) of every revisit in ``records`` (record_id, kind, canonical, at as long): the response of the
-    same URL with the greatest (at, record_id) before it; null if there is none."""
+    """(canonical, at, source_id) of every revisit in ``records`` (record_id, kind, canonical, at as long) that has a URL and a time: the
+    response of the same URL with the greatest (at, record_id) before it; null if there is none. It follows from URL and time
+    alone, so revisits need no id of their own."""
     placed = ranged(records.where("canonical is not null and at is not null").select("canonical", "at", "record_id", (F.col("kind") == "response").alias("full")), ["canonical", "at"], "pid")
     answer = F.when(F.col("full"), F.struct("at", "record_id"))
     before = W.partitionBy("pid", "canonical").orderBy("at").rangeBetween(W.unboundedPreceding, -1)
@@ -70,23 +71,30 @@ def latest_before(records: DataFrame) -> DataFrame:
     torn = bounded(ends.select(F.explode(F.array("first", "last")).alias("canonical")).distinct())
     each = placed.join(torn, "canonical").groupBy("canonical", "pid").agg(F.max(answer).alias("best"))
     carried = each.withColumn("carried", F.max("best").over(W.partitionBy("canonical").orderBy("pid").rowsBetween(W.unboundedPreceding, -1))).where("carried is not null").select("pid", "canonical", "carried")
-    return here.where("not full").join(bounded(carried), ["pid", "canonical"], "left").select("record_id", F.coalesce("found", "carried")["record_id"].alias("source_id"))
+    return here.where("not full").join(bounded(carried), ["pid", "canonical"], "left").select("canonical", "at", F.coalesce("found", "carried")["record_id"].alias("source_id"))
 
 
 #: Revisits of one response that meet its payload in one task; the payload is copied once for each so many.
 MEET = 4096
 
 
-def _answered(revisits: DataFrame, sources: DataFrame, full: DataFrame) -> DataFrame:
-    """``revisits`` with their ``source_id`` of ``sources`` (record_id, source_id) and its row of ``full``, or nulls. The revisits of a
-    response are dealt into lots, and its payload is sent to each, so that a popular response is many keys; revisits without a
-    response are lots of their own."""
-    counted = cut(sources.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))).withColumn("lots", F.ceil(F.col("n") / MEET).cast("int"))
-    asked = revisits.join(spread(sources, counted, ["source_id"]), "record_id", "left")
-    lot = F.pmod(F.xxhash64("record_id", "at"), F.coalesce("lots", F.lit(1 << 30))).cast("int")
+def _answered(revisits: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
+    """``revisits`` (canonical, at_us and others) with the ``source_id`` that ``found`` (canonical, at_us, source_id, n revisits; a row for
+    each URL and time) has for them, and its row of ``full``, or nulls. The revisits of a response are dealt into lots, and its
+    payload is sent to each, so that a popular response is many keys; revisits without one are lots of their own."""
+    known = found.where("source_id is not null")
+    counted = cut(known.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("n") / MEET).cast("int").alias("lots")))
+    keyed = spread(known.withColumnRenamed("n", "revisits"), counted, ["source_id"]).withColumnRenamed("revisits", "n")
+    none = found.where("source_id is null").withColumn("lots", F.lit(None).cast("int"))
+    placed = F.col("canonical").isNotNull() & F.col("at_us").isNotNull()
+    asked = spread(revisits.where(placed), keyed.unionByName(none), ["canonical", "at_us"])
+    asked = asked.unionByName(revisits.where(~placed), allowMissingColumns=True)
+    lot = F.pmod(F.xxhash64("record_id", "at", "url"), F.coalesce("lots", F.lit(1 << 30))).cast("int")
     popular = bounded(counted.where("lots > 1").select("source_id", "lots"))
-    copied = full.join(popular, "source_id", "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
-    return asked.withColumn("lot", lot).drop("lots").join(copied, ["source_id", "lot"], "left").drop("lot")
+    copied = full.where("source_id is not null").join(popular, "source_id", "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
+    met = F.coalesce("source_id", F.xxhash64("record_id", "at", "url"))  # a key without a response, which meets nothing as its lot is beyond all
+    own = asked.withColumn("lot", F.when(F.col("source_id").isNull(), -1).otherwise(lot)).withColumn("met", met)
+    return own.drop("lots").join(copied.withColumnRenamed("source_id", "met"), ["met", "lot"], "left").drop("lot", "met")
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -96,10 +104,11 @@ def resolve(records: DataFrame) -> DataFrame:
     ``outcome``: "merged"; "mismatch" or "unverified" (see ``agreement``); "no_earlier" without an earlier response; "no_url"
     without URL or time. Only merged rows have status, merged headers and payload of the response. A response at the same time
     is not earlier; of responses at one time the greatest record_id counts. Null headers are none; a record_id occurs once
-    among responses, and repeated revisits are all resolved. Other columns are ignored."""
-    keyed = records.select("record_id", "kind", "url", canonical_url(F.col("url")).alias("canonical"), "at", "status", "headers", "payload")
-    found = latest_before(keyed.select("record_id", "kind", "canonical", F.unix_micros("at").alias("at"))).where("source_id is not null").distinct()
-    sources = cut(found)
+    among responses that have one, and a response without one stands for nothing. Revisits may have repeated or null ids: each is
+    resolved by its own URL and time. Other columns are ignored."""
+    keyed = records.select("record_id", "kind", "url", canonical_url(F.col("url")).alias("canonical"), "at", F.unix_micros("at").alias("at_us"), "status", "headers", "payload").where("kind = 'revisit' or record_id is not null")
+    found = latest_before(keyed.select("record_id", "kind", "canonical", F.col("at_us").alias("at")))
+    sources = cut(found.groupBy("canonical", F.col("at").alias("at_us")).agg(F.max("source_id").alias("source_id"), F.count(F.lit(1)).alias("n")))
     revisit = keyed.where("kind = 'revisit'").drop("payload", "status", "kind")
     full = keyed.where("kind = 'response'").select(F.col("record_id").alias("source_id"), "status", F.col("headers").alias("stored"), "payload")
     linked = _answered(revisit, sources, full)

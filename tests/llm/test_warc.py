@@ -78,3 +78,24 @@ def test_clashing_columns_are_ignored(spark):
     rows = [(1, "response", "http://a.com", T, 200, [("etag", "x")], "p", "a", 1, 2), (2, "revisit", "http://a.com", T + timedelta(hours=1), 304, [("etag", "x")], None, "b", 3, 4)]
     df = spark.createDataFrame(rows, SCHEMA.split(", canonical")[0] + ", outcome string, lot int, lots int")
     assert [(r.record_id, r.outcome, r.source_id, r.payload) for r in warc.resolve(df).collect()] == [(2, "merged", 1, "p")]
+
+
+def test_repeated_and_null_ids_are_each_resolved_by_their_own_time(spark):
+    e = [("etag", "1")]
+    rows = [
+        (1, "response", "http://a.com", T + timedelta(days=1), e, "one"),
+        (2, "response", "http://a.com", T + timedelta(days=3), [("etag", "2")], "two"),
+        (5, "response", "http://b.com", T, e, "b"),
+        (None, "response", "http://a.com", T + timedelta(days=1, hours=5), e, "no id"),
+        *[(9, "revisit", "http://a.com", T + timedelta(days=d), e, None) for d in (2, 4)],
+        (9, "revisit", "http://b.com", T + timedelta(days=2), e, None),
+        *[(None, "revisit", u, T + timedelta(days=2), e, None) for u in ("http://a.com", "http://c.com", None)],
+        (None, "revisit", "http://a.com", None, e, None),
+    ]
+    df = spark.createDataFrame([(i, k, u, at, 200, h, p) for i, k, u, at, h, p in rows], SCHEMA.split(", canonical")[0])
+    got = sorted(((r.record_id, r.url, r.at and (r.at - T).days, r.outcome, r.source_id, r.payload) for r in warc.resolve(df).collect()), key=str)
+    want = [
+        (9, "http://a.com", 2, "merged", 1, "one"), (9, "http://a.com", 4, "mismatch", 2, None), (9, "http://b.com", 2, "merged", 5, "b"),
+        (None, "http://a.com", 2, "merged", 1, "one"), (None, "http://c.com", 2, "no_earlier", None, None), (None, None, 2, "no_url", None, None), (None, "http://a.com", None, "no_url", None, None),
+    ]
+    assert got == sorted(want, key=str)
