@@ -8,6 +8,7 @@ manifest that the job returns names them; what no manifest names is no part of t
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import uuid
@@ -22,40 +23,88 @@ from pyspark.sql import functions as F
 from almanac.llm.common import bounded, checkpoint_folder, pieces
 from almanac.llm.wavelet import Shard, pack
 
-#: Ids of a file, words that a task remembers, and rows for each range from which the bounds of the ranges are taken.
+#: Ids of a file, words of a generation that a worker remembers, and rows for each range from which the bounds of the ranges are taken.
 SHARD, REMEMBERED, PER_RANGE = 1 << 21, 300_000, 64
-_loaded: dict[int, object] = {}
+_loaded: dict[int, tuple] = {}
+
+
+#: Fixed value: the pattern of a tokenizer whose tokens lie inside runs of letters, single digits, or runs of other signs.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stops after a letter or digit that end a word: a run of signs of its own.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a-z and the letters of Latin-1
+_STOPS = re.compile(rb"(?<=[a-z0-9])[.,;:!?]+(?=[ \n\t\r]|\Z)")
+
+
+class Words:
+    """What has been met, in two generations: when the new one is full it becomes the old one, so frequent words stay."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, word: bytes) -> bytes | None:
+        ids = self.new.get(word)
+        if ids is None and (ids := self.old.get(word)) is not None:
+            self.put(word, ids)
+        return ids
+
+    def put(self, word: bytes, ids: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
 
 
 class Encoder:
-    """The tokenizers library over words: with ``apart`` a text is cut at ASCII white space, which must not change its ids (so with
-    a tokenizer that drops white space before it looks for tokens); a word is encoded once for each time it is met anew."""
+    """The tokenizers library over words. If the tokenizer's file says that it lowers case, drops white space and takes tokens from
+    the runs of ``RUNS``, the ids of a text are those of its words, apart at ASCII white space and before the stops that end a word,
+    in lower case (of A-Z, unless the text has marks that such a letter may be composed with, or special tokens); so the library
+    gets a word when it is met anew. With any other tokenizer, or without ``apart``, it gets whole texts. What was met lives as
+    long as the worker, up to a bound."""
 
     def __init__(self, told: str, apart: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if hash(told) not in _loaded:
+        key = hash(told)
+        if key not in _loaded:
             made = Tokenizer.from_str(told)
             made.no_truncation(), made.no_padding()
-            _loaded[hash(told)] = made
-        self.model, self.apart, self.known = _loaded[hash(told)], apart, {}
+            # for a word that is one run, composed and in lower case already: the same model without the steps before it
+            bare = json.dumps(json.loads(told) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}})
+            _loaded[key] = made, Tokenizer.from_str(bare), Words(REMEMBERED)
+        self.model, self.bare, self.words = _loaded[key]
+        rule = json.loads(told)
+        steps = lambda kind, many: (rule.get(kind) or {}).get(many) or [rule.get(kind) or {}]
+        runs = [x.get("pattern", {}).get("Regex") for x in steps("pre_tokenizer", "pretokenizers") if x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert")]
+        plain = all(not (x["single_word"] or x["lstrip"] or x["rstrip"]) and re.fullmatch(r"<\|\w+\|>", x["content"]) for x in rule.get("added_tokens", []))
+        last = (rule.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[-1]
+        bytes_next = last.get("type") == "ByteLevel" and not last.get("use_regex") and not last.get("add_prefix_space")
+        self.apart = apart and plain and bytes_next and runs == [RUNS] and {x.get("type") for x in steps("normalizer", "normalizers")} == {"NFC", "Replace", "Lowercase"}
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        made = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    def _ids(self, texts: list[bytes], model=None) -> list[bytes]:
+        made = (model or self.model).encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in made]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers."""
         if not self.apart:
             return self._ids(texts)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, split = self.known, [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        known.update(zip(new, self._ids(new), strict=True))
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else _STOPS.sub(rb" \g<0>", t.lower())).split() for t in texts]
+        known = self.words.new.get
+        out = [list(map(known, words)) for words in split]
+        holes = [(ids, words, [k for k, x in enumerate(ids) if x is None]) for ids, words in zip(out, split, strict=True) if None in ids]
+        got = {w: self.words.get(w) for _, words, at in holes for w in [words[k] for k in at]}
+        new = [w for w, ids in got.items() if ids is None]
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        got.update(zip(plain, self._ids(plain, self.bare), strict=True))
+        rest = [w for w in new if got[w] is None]
+        got.update(zip(rest, self._ids(rest), strict=True))
+        for w in new:
+            self.words.put(w, got[w])
+        for ids, words, at in holes:
+            for k in at:
+                ids[k] = got[words[k]]
+        return [b"".join(ids) for ids in out]
 
 
 def _bounds(docs: DataFrame, width: int) -> list[tuple]:
