@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import bounded, cut, fresh, pieces, spread, widen, written
+from almanac.llm.common import bounded, cut, fresh, numbered_table, picked, pieces, spread, widen
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Most fingerprints of one tree before its shard is dealt again or split.
@@ -259,26 +259,17 @@ def groups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tree: in
     return spread(signed, told.withColumnRenamed("node", "fp"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
-#: Most row numbers (longs) of dropped rows that are broadcast.
-DROPPED_ROWS = 2_000_000
-
-
-def numbered(docs: DataFrame, wide: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    """``wide`` (``docs`` with the columns ``more``) written with a number for each row, and of it (row, more..., best): ``best``
-    orders rows by doc_id, nulls last, then by text, nulls first and the others by hash."""
-    row = fresh(wide.columns, "row")
-    table = written(wide.withColumn(row, F.monotonically_increasing_id()), "rows")
+def numbered(docs: DataFrame, wide: DataFrame, *more: str) -> tuple[tuple[DataFrame, str, str], DataFrame]:
+    """``wide`` (``docs`` with the columns ``more``) as a ``numbered_table``, and of it (row, more..., best): ``best`` orders rows by doc_id,
+    nulls last, then by text, nulls first and the others by hash."""
+    table, row, spot = numbered_table(wide, "rows")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text").isNotNull().alias("c"), F.xxhash64("text").alias("d"), F.col(row).alias("row"))
-    return table.select(*_all(docs), F.col(row).alias(row)), table.select(F.col(row).alias("row"), *[F.col(m) for m in more], order.alias("best"))
+    return (table.select(*_all(docs), row, spot), row, spot), table.select(F.col(row).alias("row"), *[F.col(m) for m in more], order.alias("best"))
 
 
-def keep_first(table: DataFrame, rows: DataFrame, best: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the rows of ``table`` whose number (its last column) is that of a struct ``best``. Numbers alone are shuffled;
-    the texts stay where they are as long as the dropped numbers are few enough to be broadcast."""
-    number = table.columns[-1]
-    dropped = cut(rows.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti").withColumnRenamed("row", number))
-    few = F.broadcast(dropped) if dropped.count() <= DROPPED_ROWS else dropped
-    return table.join(few, number, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+def keep_first(table: tuple[DataFrame, str, str], best: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows of a ``numbered_table`` whose number is that of a struct ``best``; only numbers move."""
+    return picked(*table, best.select(F.col("best.row").alias("row"))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tree: int = TREE) -> DataFrame:
@@ -289,7 +280,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tree
     table, rows = numbered(docs, wide, fp)
     distinct = cut(rows.groupBy(F.col(fp).alias("node")).agg(F.min("best").alias("best")))
     rooted = named(distinct, links(distinct.select(F.col("node").alias("fp")), radius, tree))
-    return keep_first(table, rows, rooted.groupBy("root").agg(F.min("best").alias("best")), docs.columns)
+    return keep_first(table, rooted.groupBy("root").agg(F.min("best").alias("best")), docs.columns)
 
 
 def _all(df: DataFrame) -> list:

@@ -1,9 +1,12 @@
 """Near-duplicate texts by BK-trees over SimHash fingerprints, each link checked against the texts' word shingles.
 
 The fingerprint queries of ``simhash`` link at few bits, which near copies of five-word shingles and a similarity just over
-0.8 exceed. Here BK-trees are searched within a radius wide enough for these (their fingerprints differ in about 10 bits of
-64). Such a radius needs other shards: texts meet in a shard if a band of their minimal hashes agrees, which misses a pair of
-similarity 0.8 once in 4,000. What a tree finds is linked if the sets of shingles are similar enough, counted exactly.
+0.8 exceed: their fingerprints differ in about 10 bits of 64, and of 1,000 pairs of similarity 0.80 to 0.82 all but one or two
+in 18 at most. Trees are searched within these. Such a radius needs other shards than equal bits: texts meet in a shard if a
+band of five minimal hashes agrees in one of 20, which misses a pair of similarity 0.8 once in 2,800. No metric tree prunes much
+at such a radius (a search visits over nine tenths of a tree of random fingerprints), so what bounds the work is the shard:
+unlike texts rarely share five minimal hashes. What a tree finds is linked if the sets of shingles are similar enough, counted
+exactly, for whole arrays of pairs at once.
 
 Shingle sets move only for texts that a tree of fingerprints alone finds a partner for. A shard over ``TREE`` is cut into
 chunks that share a leader; texts that are linked to it, by whatever path, need not meet each other again, and only the others
@@ -19,15 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import bounded, cut, fresh, spread, widen
+from almanac.llm.common import bounded, cut, fresh, picked, pieces, spread, widen
 from almanac.llm.simhash import TREE, forest, keep_first, named, numbered, search
 
 #: Words of a shingle, least similarity (as a fraction), bits within which trees are searched, bands and their minimal hashes.
-SHINGLE, SIMILAR, RADIUS, BANDS, ROWS = 5, (4, 5), 24, 16, 4
+SHINGLE, SIMILAR, RADIUS, BANDS, ROWS = 5, (4, 5), 18, 20, 5
 #: Fixed random odd multipliers: one for each minimal hash, one for each word of a shingle.
 _ODD = np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS + 64, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Rows and bytes of shards that are worked on together.
-TOGETHER = 1 << 15
+#: Rows of shards, and shingles of pairs, that are worked on together.
+TOGETHER, COMPARED = 1 << 15, 1 << 22
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,12 +118,37 @@ def _found(radius: int):
     return run
 
 
+def _alike(sets: list[np.ndarray], size: np.ndarray, a: np.ndarray, b: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """Which pairs of sorted sets (of small numbers, the same in all) share enough: both sides of all pairs as one sorted array
+    of (pair, number), one looked up in the other."""
+    least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    out = similar[1] * least >= similar[0] * most
+    at = np.flatnonzero(out)
+    ends = np.cumsum(size[a[at]] + size[b[at]])
+    start = 0
+    while start < len(at):
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + COMPARED, "right")))
+        own = at[start:end]
+        side = lambda x: (np.repeat(np.arange(len(own)), size[x]) << 32) | np.concatenate([sets[i] for i in x.tolist()])  # noqa: E731,B023
+        one, two = side(a[own]), side(b[own])
+        place = np.minimum(np.searchsorted(two, one), max(0, len(two) - 1))
+        both = np.bincount((one[two[place] == one] >> 32) if len(two) else np.zeros(0, np.int64), minlength=len(own))
+        out[own] = similar[1] * both >= similar[0] * (size[a[own]] + size[b[own]] - both)
+        start = end
+    return out
+
+
 def _checked(radius: int, similar: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A spanning forest (u, v) of each cell's links; (u, null) for what is not joined to the cell's leader, if it has one."""
         for lot in _shards(batches, "cell"):
             cell, node, fp, lead = (lot.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "node", "fp", "lead"))
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in lot.column("set")]
+            raw = [np.frombuffer(x.as_py(), np.uint64) for x in lot.column("set")]
+            size = np.array([len(x) for x in raw], np.int64)
+            small = np.unique(np.concatenate(raw), return_inverse=True)[1].astype(np.int64) if len(raw) else np.zeros(0, np.int64)
+            sets = np.split(small, np.cumsum(size)[:-1])  # numbers keep the order of the hashes
+            del raw, small
             label = np.arange(len(node))
 
             def find(i: int) -> int:
@@ -131,20 +159,19 @@ def _checked(radius: int, similar: tuple[int, int]):
             u, v = [], []
             for a, b in _candidates(cell, fp.view(np.uint64), radius):
                 once = a < b
-                for i, j in zip(a[once].tolist(), b[once].tolist(), strict=True):
-                    x, y = find(i), find(j)
-                    if x == y:
-                        continue
-                    p, q = sets[i], sets[j]
-                    small, large = (p, q) if len(p) < len(q) else (q, p)
-                    if similar[1] * len(small) < similar[0] * len(large):
-                        continue
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    both = int((large[at] == small).sum()) if len(large) else 0
-                    if similar[1] * both >= similar[0] * (len(p) + len(q) - both):
-                        label[max(x, y)] = min(x, y)
-                        u.append(node[i]), v.append(node[j])
+                a, b = a[once], b[once]
+                for start in range(0, len(a), 4096):  # pairs that earlier ones have joined need no check
+                    while (label != (up := label[label])).any():
+                        label[:] = up
+                    i, j = a[start : start + 4096], b[start : start + 4096]
+                    apart = label[i] != label[j]
+                    i, j = i[apart], j[apart]
+                    good = _alike(sets, size, i, j, similar)
+                    for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                        p, q = find(x), find(y)
+                        if p != q:
+                            label[max(p, q)] = min(p, q)
+                            u.append(node[x]), v.append(node[y])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(u), pa.int64())], ["u", "v", "shard"])
             if lead.any():
                 root = np.array([find(i) for i in range(len(node))])
@@ -155,9 +182,9 @@ def _checked(radius: int, similar: tuple[int, int]):
     return run
 
 
-def text_links(table: DataFrame, texts: DataFrame, radius: int = RADIUS, similar: tuple[int, int] = SIMILAR, width: int = SHINGLE, tree: int = TREE) -> DataFrame:
+def text_links(table: DataFrame, texts: tuple[DataFrame, str, str], radius: int = RADIUS, similar: tuple[int, int] = SIMILAR, width: int = SHINGLE, tree: int = TREE) -> DataFrame:
     """Links (u, v) that join the same components as all links between similar texts would. ``table`` (node, fp, bands): one row
-    for each distinct set of shingles; ``texts`` (node, text) holds the text of every node, and may hold more."""
+    for each distinct set of shingles; ``texts``, a ``numbered_table``, has the text of each under its number."""
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = table.select("node", "fp", F.explode("bands").alias("shard"))
     sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -171,10 +198,11 @@ def text_links(table: DataFrame, texts: DataFrame, radius: int = RADIUS, similar
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([signer.shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["node", "set"])
+            for part in pieces(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([signer.shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["node", "set"])
 
-    times = cut(live.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
-    sets = cut(texts.join(bounded(times.select("node"), 2_000_000), "node").mapInArrow(shingle_sets, "node long, set binary"))
+    asking = picked(*texts, live.select(F.col("node").alias("row")).distinct())
+    sets = cut(asking.select(F.col(texts[1]).alias("node"), F.col("text").cast("string").alias("text")).mapInArrow(shingle_sets, "node long, set binary"))
     whole = live.join(sets, "node")
     check = lambda cells: sorted_by(cells.select("cell", "shard", "node", "fp", "lead", "set"), "cell").mapInArrow(_checked(radius, similar), "u long, v long, shard long")
     no = F.lit(False).alias("lead")
@@ -199,8 +227,8 @@ def text_links(table: DataFrame, texts: DataFrame, radius: int = RADIUS, similar
     return links.unionByName(check(cells.select("*", F.xxhash64("shard", "lot", "chunk").alias("cell"), no)).where("v is not null").select("u", "v"))
 
 
-def near_texts(docs: DataFrame, radius: int = RADIUS, similar: tuple[int, int] = SIMILAR, width: int = SHINGLE, tree: int = TREE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs`` (doc_id, text and any others) with a row number; (row, sig, best) of its rows, see ``numbered``; and (sig, best, root)
+def near_texts(docs: DataFrame, radius: int = RADIUS, similar: tuple[int, int] = SIMILAR, width: int = SHINGLE, tree: int = TREE) -> tuple[tuple[DataFrame, str, str], DataFrame, DataFrame]:
+    """``docs`` (doc_id, text and any others) as a ``numbered_table``; (row, sig, best) of its rows, see ``numbered``; and (sig, best, root)
     of every distinct shingle set. Rows belong together if their sets are equal or linked; texts without words are equal."""
     name = fresh(docs.columns, "signature")
     line = fresh([*docs.columns, name], "line")
@@ -215,8 +243,7 @@ def near_texts(docs: DataFrame, radius: int = RADIUS, similar: tuple[int, int] =
     table, rows = numbered(docs, split, sig, fp, bands)
     rows = rows.select("row", F.col(sig).alias("sig"), F.col(fp).alias("fp"), F.col(bands).alias("bands"), "best")
     one = cut(rows.groupBy("sig").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("best").alias("best")))
-    texts = table.select(F.col(table.columns[-1]).alias("node"), F.col("text").cast("string").alias("text"))
-    rooted = named(one.select("node", "sig", "best"), text_links(one.select("node", "fp", "bands"), texts, radius, similar, width, tree))
+    rooted = named(one.select("node", "sig", "best"), text_links(one.select("node", "fp", "bands"), table, radius, similar, width, tree))
     return table, rows, rooted
 
 
@@ -225,8 +252,8 @@ def dedup_texts(docs: DataFrame, radius: int = RADIUS, similar: tuple[int, int]
     last (of its repeats in the group, a null text first, then the least hash of the text). Texts are alike if they share
     ``similar`` of their ``width``-word shingles (A-Z in lower case), and groups are what such links join. Null, empty and blank
     texts are one group; shorter texts than a shingle are one shingle. An empty table gives an empty one."""
-    table, rows, rooted = near_texts(docs, radius, similar, width, tree)
-    return keep_first(table, rows, rooted.groupBy("root").agg(F.min("best").alias("best")), docs.columns)
+    table, _, rooted = near_texts(docs, radius, similar, width, tree)
+    return keep_first(table, rooted.groupBy("root").agg(F.min("best").alias("best")), docs.columns)
 
 
 def text_groups(docs: DataFrame, radius: int = RADIUS, similar: tuple[int, int] = SIMILAR, width: int = SHINGLE, tree: int = TREE) -> DataFrame:
