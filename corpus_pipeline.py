@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm import byte_bpe, mixing, quality, simhash_texts, toxicity
-from almanac.llm.common import checkpoint_folder, read
+from almanac.llm.common import read
+from almanac.session import checkpoint_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
