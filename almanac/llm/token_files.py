@@ -24,15 +24,15 @@ from almanac.llm.common import bounded, checkpoint_folder, pieces
 from almanac.llm.wavelet import Shard, pack
 
 #: Ids of a file, words of a generation that a worker remembers, and rows for each range from which the bounds of the ranges are taken.
-SHARD, REMEMBERED, PER_RANGE = 1 << 21, 300_000, 64
+SHARD, REMEMBERED, PER_RANGE = 1 << 21, 400_000, 64
 _loaded: dict[int, tuple] = {}
 
 
 #: Fixed value: the pattern of a tokenizer whose tokens lie inside runs of letters, single digits, or runs of other signs.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Stops after a letter or digit that end a word: a run of signs of its own.
+#: Signs (no apostrophe, no part of a special token) that end a word after a letter or digit: a run of their own.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a-z and the letters of Latin-1
-_STOPS = re.compile(rb"(?<=[a-z0-9])[.,;:!?]+(?=[ \n\t\r]|\Z)")
+_STOPS = re.compile(rb"""(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+(?=[ \n\t\r]|\Z)""")
 
 
 class Words:
@@ -55,7 +55,7 @@ class Words:
 
 class Encoder:
     """The tokenizers library over words. If the tokenizer's file says that it lowers case, drops white space and takes tokens from
-    the runs of ``RUNS``, the ids of a text are those of its words, apart at ASCII white space and before the stops that end a word,
+    the runs of ``RUNS``, the ids of a text are those of its words, apart at ASCII white space and before the signs that end a word,
     in lower case (of A-Z, unless the text has marks that such a letter may be composed with, or special tokens); so the library
     gets a word when it is met anew. With any other tokenizer, or without ``apart``, it gets whole texts. What was met lives as
     long as the worker, up to a bound."""
