@@ -29,16 +29,20 @@ def format_distance(m: Column) -> Column:
     return F.when(m < 0.1, "< 0.1 mi").when(m < 10, F.format_string("%.1f mi", m)).otherwise(F.format_string("%.0f mi", m))
 
 
-def _edges(ring: Column) -> Column:
+def bound(value: Column, f) -> Column:
+    """``f`` of ``value``, which is evaluated once however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def edges(ring: Column) -> Column:
     """struct<a, b> of neighbouring points, the last joined to the first."""
-    n = F.size(ring)
-    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, F.pmod(i + 1, n)).alias("b")))
+    return bound(ring, lambda r: F.transform(r, lambda p, i: F.struct(p.alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b"))))
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd rule: crossings of a ray to the right."""
     crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"])
-    return F.size(F.filter(_edges(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    return F.size(F.filter(edges(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
 def in_shape(x: Column, y: Column, shape: Column) -> Column:
@@ -69,14 +73,14 @@ def _to_edge(x: Column, y: Column, e: Column) -> Column:
 
 def metres_to_shape(x: Column, y: Column, shape: Column) -> Column:
     """0 inside, else metres to the nearest edge."""
-    edges = F.flatten(F.transform(F.flatten(shape), _edges))
-    return F.when(in_shape(x, y, shape), 0.0).otherwise(F.array_min(F.transform(edges, lambda e: _to_edge(x, y, e))))
+    sides = F.flatten(F.transform(F.flatten(shape), edges))
+    return F.when(in_shape(x, y, shape), 0.0).otherwise(F.array_min(F.transform(sides, lambda e: _to_edge(x, y, e))))
 
 
 def _ring_area(ring: Column) -> Column:
     """Square metres, on a plane at the ring's first point."""
     k = F.cos(F.radians(ring[0]["y"]))
-    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) * k)
+    twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) * k)
     return F.abs(twice) / 2 * METRES_PER_DEGREE**2
 
 

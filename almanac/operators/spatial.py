@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.functions import geo, names
+from almanac.functions import geo, names, spheroid
 
 SNAP, WIDE, GAP, RECOGNISABLE = 100.0, 1609.0, 500.0, 1
 
@@ -25,37 +25,40 @@ def with_cells(shapes: DataFrame, size: float, margin: float) -> DataFrame:
     return b.withColumn("cx", F.explode(span("west", "east"))).withColumn("cy", F.explode(span("south", "north")))
 
 
-def near_shapes(points: DataFrame, shapes: DataFrame, metres: float, size: float = 0.05, same: tuple[str, ...] = ()) -> DataFrame:
+def near_shapes(points: DataFrame, shapes: DataFrame, metres: float, size: float = 0.05, same: tuple[str, ...] = (), on_spheroid: bool = False) -> DataFrame:
     """Every pair of a point (x, y and others) and a shape (shape and others) at most ``metres`` apart, with ``distance`` (0
-    inside). Columns of ``same`` must be equal and are kept once. First the cells, then the box, then the exact distance."""
+    inside). Columns of ``same`` must be equal and are kept once. First the cells, then the box, then the exact distance: on a local
+    plane, or ``on_spheroid`` along geodesics, whose metres differ from the plane's by up to six in a thousand. The box is widened
+    by twice the distance, which holds up to 60 degrees of latitude."""
     margin = 2 * metres / geo.METRES_PER_DEGREE
     placed = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
     met = placed.join(with_cells(shapes, size, margin), ["cx", "cy", *same]).where(geo.in_box(F.col("x"), F.col("y"), F.col("box"), margin))
-    exact = geo.metres_to_shape(F.col("x"), F.col("y"), F.col("shape")) if metres else F.when(geo.in_shape(F.col("x"), F.col("y"), F.col("shape")), 0.0)
+    by = spheroid if on_spheroid else geo
+    exact = by.metres_to_shape(F.col("x"), F.col("y"), F.col("shape")) if metres else F.when(geo.in_shape(F.col("x"), F.col("y"), F.col("shape")), 0.0)
     return met.withColumn("distance", exact).where(F.col("distance") <= metres).drop("cx", "cy", "box")
 
 
-def best_area(points: DataFrame, areas: DataFrame, metres: float = SNAP) -> DataFrame:
+def best_area(points: DataFrame, areas: DataFrame, metres: float = SNAP, on_spheroid: bool = False) -> DataFrame:
     """(id, area) for points (id, city, x, y) within ``metres`` of an area (area, city, tier, recognisability, shape): no obscure
     fine area if there is another, then the nearest, fine before coarse, best known, smallest, least name."""
     obscure = (F.col("tier") == "fine") & (F.col("recognisability") < RECOGNISABLE)
     order = [obscure, F.col("distance"), F.col("tier") != "fine", F.desc("recognisability"), geo.area(F.col("shape")), F.col("area")]
-    found = near_shapes(points, areas, metres, same=("city",))
+    found = near_shapes(points, areas, metres, same=("city",), on_spheroid=on_spheroid)
     return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(*order))).where("rank = 1").select("id", "area")
 
 
-def clear_area(points: DataFrame, areas: DataFrame, metres: float = WIDE) -> DataFrame:
+def clear_area(points: DataFrame, areas: DataFrame, metres: float = WIDE, on_spheroid: bool = False) -> DataFrame:
     """(id, area): the nearest area, if no second comes close: none in reach, twice as far, or ``GAP`` metres farther."""
     by = W.partitionBy("id").orderBy("distance", "area")
-    ranked = near_shapes(points, areas, metres, same=("city",)).withColumn("rank", F.row_number().over(by)).withColumn("second", F.lead("distance").over(by)).where("rank = 1")
+    ranked = near_shapes(points, areas, metres, same=("city",), on_spheroid=on_spheroid).withColumn("rank", F.row_number().over(by)).withColumn("second", F.lead("distance").over(by)).where("rank = 1")
     return ranked.where("second is null or second >= 2 * distance or second - distance >= %f" % GAP).select("id", "area")
 
 
-def assign(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """(id, area, stage) for every point: by the tight rule, else by the clear one, else null."""
-    tight = best_area(points, areas).withColumnRenamed("area", "snap")
+def assign(points: DataFrame, areas: DataFrame, on_spheroid: bool = False) -> DataFrame:
+    """(id, area, stage) for every point: by the tight rule, else by the clear one, else null; distances on a plane or the spheroid."""
+    tight = best_area(points, areas, on_spheroid=on_spheroid).withColumnRenamed("area", "snap")
     rest = points.join(tight, "id", "left_anti")
-    wide = clear_area(rest, areas).withColumnRenamed("area", "fill")
+    wide = clear_area(rest, areas, on_spheroid=on_spheroid).withColumnRenamed("area", "fill")
     return points.join(tight, "id", "left").join(wide, "id", "left").select("id", F.coalesce("snap", "fill").alias("area"), F.when(F.col("snap").isNotNull(), "snap").when(F.col("fill").isNotNull(), "wide").alias("stage"))
 
 

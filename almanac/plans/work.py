@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.functions import geo, names, weekly
-from almanac.operators import decisions, gates, tables, windows
+from almanac.operators import decisions, gates, spatial, tables, windows
 from almanac.plans import inputs as i
 from almanac.plans.catalogue import query
 from almanac.plans.evaluated import PREPARED, W, _with_offers, prepared
@@ -32,12 +32,12 @@ def s3(s, d):
     return found.select(k.alias("k"), "name", F.size("shape").alias("polygons"), F.expr("shape[0][0][0].x").alias("x"), F.size(F.expr("shape[0][0]")).alias("points"))
 
 
-LINE = "concat_ws(',', " + ", ".join(f"""(SELECT CASE WHEN regexp_matches(x, '[",]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END FROM (SELECT regexp_replace(coalesce({c}, ''), '\\r?\\n', ' ', 'g') AS x))""" for c in ("left(text, 200)", "lang", "source")) + ")"
+LINE = "concat_ws(',', " + ", ".join(f"""(SELECT CASE WHEN regexp_matches(x, '[",]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END FROM (SELECT regexp_replace(coalesce({c}, ''), '\\r?\\n', ' ', 'g') AS x))""" for c in ("text", "lang", "source")) + ")"
 
 
 @query("s7_csv_lines", f"SELECT doc_id, {LINE} AS line FROM documents")
 def s7(s, d):
-    return t(s, d, "documents").select("doc_id", readers.csv_line(F.substring("text", 1, 200), F.col("lang"), F.col("source")).alias("line"))
+    return t(s, d, "documents").select("doc_id", readers.csv_line(F.col("text"), F.col("lang"), F.col("source")).alias("line"))
 
 
 @query("s9_markdown_rows", "SELECT '| ' || c_custkey || ' | ' || replace(c_name, '#', '\\|') || ' | ' || c_mktsegment || ' |' AS line FROM customer")
@@ -58,22 +58,21 @@ IN_AREA = "x >= west AND x <= west + 0.55 AND y >= south AND y <= south + 0.55"
 
 @query("s12_boundary_probe", f"WITH {i.POINTS}, {i.AREAS} SELECT DISTINCT id FROM points JOIN areas USING (city) WHERE {IN_AREA}")
 def s12(s, d):
-    return i.points(s, d).join(i.areas(s, d), "city").where(geo.in_shape(F.col("x"), F.col("y"), F.col("shape"))).select("id").distinct()
+    return spatial.near_shapes(i.points(s, d), i.areas(s, d), 0.0, same=("city",)).select("id").distinct()
 
 
 @query("s18_delete_outside", f"WITH {i.POINTS}, {i.AREAS} SELECT id, city FROM points p WHERE EXISTS (SELECT 1 FROM areas a WHERE a.city = p.city AND {IN_AREA})")
 def s18(s, d):
     """What stays if all points outside of their city's areas are deleted."""
-    inside = i.points(s, d).join(i.areas(s, d), "city").where(geo.in_shape(F.col("x"), F.col("y"), F.col("shape"))).select("id").distinct()
-    outside = i.points(s, d).join(inside, "id", "left_anti").select("id")
-    return i.points(s, d).join(outside, "id", "left_anti").select("id", "city")
+    inside = spatial.near_shapes(i.points(s, d), i.areas(s, d), 0.0, same=("city",)).select("id")
+    return i.points(s, d).join(inside, "id", "left_semi").select("id", "city")
 
 
 @query("g13_crossover", f"WITH {i.POINTS}, {i.AREAS}, own AS (SELECT *, (city + 1) % 25 AS sibling FROM points) SELECT id, bool_or(coalesce({IN_AREA}, false)) AS crosses FROM own LEFT JOIN (SELECT city AS sibling, west, south FROM areas) USING (sibling) GROUP BY id")
 def g13(s, d):
     p = i.points(s, d).withColumn("sibling", ((F.col("city") + 1) % 25).cast("int"))
-    met = p.join(i.areas(s, d).select(F.col("city").alias("sibling"), "shape"), "sibling", "left")
-    return met.groupBy("id").agg(F.bool_or(F.coalesce(geo.in_shape(F.col("x"), F.col("y"), F.col("shape")), F.lit(False))).alias("crosses"))
+    met = spatial.near_shapes(p, i.areas(s, d).select(F.col("city").alias("sibling"), "shape"), 0.0, same=("sibling",)).select("id").distinct()
+    return p.join(met.withColumn("crosses", F.lit(True)), "id", "left").select("id", F.coalesce("crosses", F.lit(False)).alias("crosses"))
 
 
 # ---- predicates, ranks, keys
