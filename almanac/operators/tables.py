@@ -80,17 +80,24 @@ def changed_since(local: DataFrame, remote: DataFrame, cutoff: Column) -> DataFr
 
 
 def levels(tree: DataFrame, key: str, parent: str) -> DataFrame:
-    """``key`` and its depth below a root (null or unknown parent), by one join a level until no level is left, however deep; nodes
-    of cycles have none. A key that occurs at several levels counts at the first. Each level is cut, so that plans stay short."""
-    nodes = tree.select(F.col(key).alias("k"), F.col(parent).alias("p"))
-    at = cut(nodes.join(nodes.select(F.col("k").alias("id")), F.col("p") == F.col("id"), "left_anti").select("k").withColumn("depth", F.lit(0)))
-    out, depth = at, 0
-    while not at.isEmpty():
-        depth += 1
-        below = nodes.join(at.select(F.col("k").alias("up")), F.col("p") == F.col("up"), "left_semi").select("k")
-        at = cut(below.join(out.select("k"), "k", "left_anti").withColumn("depth", F.lit(depth)))
-        out = out.unionByName(at)
-    return out.withColumnRenamed("k", key)
+    """``key`` and its depth below a root (null or unknown parent); nodes of cycles, and below them, have none. A key that occurs at
+    several levels counts at the first.
+
+    By pointer doubling: each round a node looks twice as far up, through the nodes that it looked at before, so a chain of n nodes
+    takes log2(n) rounds of two joins. A round in which no node finds a root leaves only cycles. Each round is cut."""
+    nodes = tree.select(F.col(key).alias("k"), F.col(parent).alias("p")).where("k is not null").distinct()
+    known = nodes.select(F.col("k").alias("p")).distinct().withColumn("there", F.lit(True))
+    marked = cut(nodes.join(known, "p", "left").select("k", F.when(F.col("there"), F.col("p")).alias("up")).distinct())
+    done = cut(marked.where("up is null").select("k", F.lit(0).alias("depth")).distinct())
+    # ups: what stands ``far`` steps above k; whoever is less deep has none
+    every, ups, far = done, marked.where("up is not null"), 1
+    while not done.isEmpty():
+        above = every.select(F.col("k").alias("up"), (F.col("depth") + far).cast("int").alias("depth"))
+        done = cut(ups.join(every.select("k"), "k", "left_anti").join(above, "up").groupBy("k").agg(F.min("depth").alias("depth")))
+        ups = cut(ups.join(ups.select(F.col("k").alias("up"), F.col("up").alias("over")), "up").select("k", F.col("over").alias("up")).distinct())
+        every = every.unionByName(done)
+        far *= 2
+    return every.withColumnRenamed("k", key)
 
 
 def nested(parents: DataFrame, key: str, **children: tuple[DataFrame, list[str]]) -> DataFrame:
@@ -125,3 +132,33 @@ def revert(current: DataFrame, audit: DataFrame, key: str, columns: list[str], o
     value["active"] = F.when(gone, False).otherwise(value.get("active", F.col("c.active")))
     value["deleted_at"] = F.when(gone, F.coalesce("c.deleted_at", F.lit("reverted"))).when(hit, None).otherwise(F.col("c.deleted_at"))
     return j.select(*[value.get(c, F.col(f"c.{c}")).alias(c) for c in current.columns])
+
+
+def state_at(current: DataFrame, audit: DataFrame, key: str, columns: list[str], at: Column) -> DataFrame:
+    """(key, columns...) of every row that lived at the instant ``at``: a key's row is the before-image of its first change after it, or
+    the row as it is now if there was none. ``audit`` has (key, at, before): JSON of the columns, null where the change made the
+    row. A deleted row, which ``current`` lacks, comes back from its last image. Of changes at one time the least image counts,
+    those that made the row first; a change at ``at`` itself has happened. Null keys are left out."""
+    kinds = ", ".join(f"{c} {current.schema[c].dataType.simpleString()}" for c in columns)
+    image = F.struct(F.col("at"), F.col("before").isNotNull().alias("told"), F.col("before"))
+    first = audit.where(F.col(key).isNotNull() & (F.col("at") > at)).groupBy(F.col(key).alias("_k")).agg(F.min(image)["before"].alias("_before"))
+    j = current.where(F.col(key).isNotNull()).select(F.col(key).alias("_own"), F.struct(*columns).alias("_now")).join(first.withColumn("_hit", F.lit(True)), F.col("_own") == F.col("_k"), "full_outer")
+    row = F.when(F.col("_hit"), F.from_json("_before", kinds)).otherwise(F.col("_now"))
+    lived = j.where(F.col("_hit").isNull() | F.col("_before").isNotNull())
+    return lived.select(F.coalesce("_own", "_k").alias(key), row.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
+def mark_reverted(submissions: DataFrame, reverted: DataFrame, key: str, column: str = "status") -> DataFrame:
+    """``submissions`` with ``column`` "reverted" where their ``key`` is among those of ``reverted`` and they had been applied."""
+    hit = reverted.select(F.col(key).alias("_k")).where("_k is not null").distinct().withColumn("_hit", F.lit(True))
+    j = submissions.join(hit, F.col(key) == F.col("_k"), "left")
+    value = F.when(F.col("_hit") & (F.col(column) == "applied"), "reverted").otherwise(F.col(column))
+    return j.select(*[value.alias(c) if c == column else F.col(f"`{c}`") for c in submissions.columns])
+
+
+def soft_deleted(rows: DataFrame, why: Column, at: Column) -> DataFrame:
+    """``rows`` (active, deleted_at and others) with those that live and for which ``why`` is told made inactive and deleted at ``at``; all
+    others stay as they are, so a second run changes nothing."""
+    gone = F.col("active") & F.col("deleted_at").isNull() & why.isNotNull()
+    made = {"active": F.col("active") & ~gone, "deleted_at": F.when(gone, at).otherwise(F.col("deleted_at"))}
+    return rows.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in rows.columns])

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules register their queries when they are imported."""
-    from almanac.plans import evaluated, more, relational, reviews, shapes, texts, work  # noqa: F401
+    from almanac.plans import evaluated, further, more, relational, reviews, shapes, texts, work  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
