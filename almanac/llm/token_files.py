@@ -12,6 +12,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,34 +32,36 @@ _loaded: dict[int, tuple] = {}
 #: Fixed value: the pattern of a tokenizer whose tokens lie inside runs of letters, single digits, or runs of other signs.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Signs (no apostrophe, no part of a special token) that end a word after a letter or digit: a run of their own.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a-z and the letters of Latin-1
-_STOPS = re.compile(rb"""(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+(?=[ \n\t\r]|\Z)""")
-
-
-class Words:
-    """What has been met, in two generations: when the new one is full it becomes the old one, so frequent words stay."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def get(self, word: bytes) -> bytes | None:
-        ids = self.new.get(word)
-        if ids is None and (ids := self.old.get(word)) is not None:
-            self.put(word, ids)
+_SIGNS = b"""!"#$%&()*+,-./:;=?@[\\]^_`{}~"""
+_LETTER = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")  # and the letters of Latin-1
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+class Known(dict):
+    """What ``make`` makes of each word, made when it is first asked for. In two generations: when the new one is full it becomes the
+    old one, so frequent words stay."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
-    def put(self, word: bytes, ids: bytes) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[word] = ids
-
 
 class Encoder:
     """The tokenizers library over words. If the tokenizer's file says that it lowers case, drops white space and takes tokens from
-    the runs of ``RUNS``, the ids of a text are those of its words, apart at ASCII white space and before the signs that end a word,
-    in lower case (of A-Z, unless the text has marks that such a letter may be composed with, or special tokens); so the library
-    gets a word when it is met anew. With any other tokenizer, or without ``apart``, it gets whole texts. What was met lives as
-    long as the worker, up to a bound."""
+    the runs of ``RUNS``, the ids of a text are those of its words, apart at ASCII white space, in lower case (of A-Z, unless the text
+    has marks that such a letter may be composed with, or special tokens), and those of a word are those of what is before its
+    final signs and of the signs; so the library gets a run when it is met anew. With any other tokenizer, or without ``apart``, it
+    gets whole texts. What was met lives as long as the worker, up to a bound."""
 
     def __init__(self, told: str, apart: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,8 +73,8 @@ class Encoder:
             made.no_truncation(), made.no_padding()
             # for a word that is one run, composed and in lower case already: the same model without the steps before it
             bare = json.dumps(json.loads(told) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}})
-            _loaded[key] = made, Tokenizer.from_str(bare), Words(REMEMBERED)
-        self.model, self.bare, self.words = _loaded[key]
+            _loaded[key] = made, Tokenizer.from_str(bare), Known(self._parts, REMEMBERED), Known(self._run, REMEMBERED)
+        self.model, self.bare, self.words, self.runs = _loaded[key]
         rule = json.loads(told)
         steps = lambda kind, many: (rule.get(kind) or {}).get(many) or [rule.get(kind) or {}]
         runs = [x.get("pattern", {}).get("Regex") for x in steps("pre_tokenizer", "pretokenizers") if x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert")]
@@ -81,30 +84,25 @@ class Encoder:
         self.apart = apart and plain and bytes_next and runs == [RUNS] and {x.get("type") for x in steps("normalizer", "normalizers")} == {"NFC", "Replace", "Lowercase"}
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
-    def _ids(self, texts: list[bytes], model=None) -> list[bytes]:
-        made = (model or self.model).encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in made]
+    def _ids(self, text: bytes, model) -> bytes:
+        return array(self.kind.char, model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def _run(self, word: bytes) -> bytes:
+        return self._ids(word, self.bare if _PLAIN.fullmatch(word) else self.model)
+
+    def _parts(self, word: bytes) -> bytes:
+        """A word's ids: those of what is before its final signs, and those of the signs."""
+        body = word.rstrip(_SIGNS)
+        if len(body) < len(word) and _LETTER.search(body[-2:]):
+            return self.runs[body] + self.runs[word[len(body) :]]
+        return self.runs[word]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers."""
         if not self.apart:
-            return self._ids(texts)
-        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else _STOPS.sub(rb" \g<0>", t.lower())).split() for t in texts]
-        known = self.words.new.get
-        out = [list(map(known, words)) for words in split]
-        holes = [(ids, words, [k for k, x in enumerate(ids) if x is None]) for ids, words in zip(out, split, strict=True) if None in ids]
-        got = {w: self.words.get(w) for _, words, at in holes for w in [words[k] for k in at]}
-        new = [w for w, ids in got.items() if ids is None]
-        plain = [w for w in new if _PLAIN.fullmatch(w)]
-        got.update(zip(plain, self._ids(plain, self.bare), strict=True))
-        rest = [w for w in new if got[w] is None]
-        got.update(zip(rest, self._ids(rest), strict=True))
-        for w in new:
-            self.words.put(w, got[w])
-        for ids, words, at in holes:
-            for k in at:
-                ids[k] = got[words[k]]
-        return [b"".join(ids) for ids in out]
+            return [self._ids(t, self.model) for t in texts]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, (t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split())) for t in texts]
 
 
 def _bounds(docs: DataFrame, width: int) -> list[tuple]:
