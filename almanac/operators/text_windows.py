@@ -12,17 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import signals
+from almanac.operators import told
 
-DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
-DAY = r"\b(mon(?:day)?|tues?(?:day)?|wed(?:s|nesday)?|thur?s?(?:day)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)\b"
-GROUPS = ((r"\b(?:daily|every\s*day|all\s*week|7\s*days)\b", [1, 2, 3, 4, 5, 6, 7]), (r"\bweekends?\b", [6, 7]), (r"\bweekdays?\b", [1, 2, 3, 4, 5]))
-TO = r"\s*(?:-|–|—|to|til|till|until|through|thru)\s*"
-TIME = r"(?<![$\d.])(\d{1,2})(?!\d)(?::(\d{2}))?\s*(a\.?m\.?|p\.?m\.?)?"
-CLOSE = r"(?:close|closing|midnight|late|end)"
-RANGE = re.compile(rf"\bopen(?:ing)?\b{TO}{TIME}|{TIME}{TO}(?:{TIME}|({CLOSE}))", re.I)
-DAY_EXPRESSION = re.compile(rf"{'|'.join(p for p, _ in GROUPS)}|{DAY}(?:\s*(?:-|–|—|to|through|thru|until|till|,|&|and|\+|/)\s*{DAY})*", re.I)
-DAY_RANGE = re.compile(rf"{DAY}\s*(?:-|–|—|to|through|thru|until|till)\s*{DAY}", re.I)
-ONE_DAY = re.compile(DAY, re.I)
 QUANTITY = re.compile(r"\s*(?:courses?|people|persons?|guests?|items?|oz|ounces?|wines?|beers?|tastings?|seats?|weeks?|months?|years?|miles?|%|percent)\b", re.I)
 CONTEXT = re.compile(r"\bspecials?\b|drink\s*deals?|\bdaily\b|industry\s*night|happy\s*hr\b", re.I)
 HOUR = re.compile(signals.OFFER_HOUR)
@@ -41,46 +32,6 @@ KIND = (
 )
 
 
-def days_of(text: str) -> list[int] | None:
-    """The ISO days that a text names: a group, a range (over the week's end too), or a list."""
-    for pattern, days in GROUPS:
-        if re.search(pattern, text, re.I):
-            return days
-    number = lambda name: DAYS.index(name.lower()[:3]) + 1
-    if m := DAY_RANGE.search(text):
-        a, b = number(m[1]), number(m[2])
-        return sorted((a - 1 + k) % 7 + 1 for k in range((b - a) % 7 + 1))
-    return sorted({number(m[1]) for m in ONE_DAY.finditer(text)}) or None
-
-
-def clock(hour: str, minute: str | None, half: str | None) -> int | None:
-    h, m = int(hour), int(minute or 0)
-    if m > 59 or half and not 1 <= h <= 12:
-        return None
-    h = h + 12 if half == "p" and h < 12 else 0 if half == "a" and h == 12 else h
-    return h * 60 + m if h < 24 else None
-
-
-def times_of(m: re.Match, about: bool) -> tuple[int | None, int | None, bool] | None:
-    """(start, end, whether no half of the day was told) of a range; null for the opening or the close; None if it is none."""
-    half = lambda x: x[0].lower() if x else None
-    if m[1]:  # open until
-        told = half(m[3])
-        end = clock(m[1], m[2], told or ("p" if about else None))
-        return None if end is None else (None, end, not told)
-    a, b = half(m[6]), half(m[9])
-    if m[10]:  # until the close
-        whole = not a and int(m[4]) >= 13
-        start = clock(m[4], m[5], a or ("p" if about and not whole and 1 <= int(m[4]) <= 11 else None))
-        return None if start is None else (start, None, not a and not whole)
-    silent = not a and not b
-    if not (silent and max(int(m[4]), int(m[7])) >= 13):
-        fallback = "p" if about and silent else None
-        a, b = a or b or fallback, b or a or fallback
-    start, end = clock(m[4], m[5], a), clock(m[7], m[8], b)
-    return None if start is None or end is None else (start, end, silent)
-
-
 def offers_of(text: str) -> list[dict]:
     out = []
     for m in OFFER.finditer(text):
@@ -113,15 +64,16 @@ def windows_of(text: str | None) -> list[dict]:
     for part in re.split(r"(?:\.(?=\s)|[;·\n\r])+", text):
         part = part.strip()
         about = bool(HOUR.search(part) or CONTEXT.search(part))
-        named = [(m.start(), d) for m in DAY_EXPRESSION.finditer(part) if (d := days_of(m[0]))]
-        for m in RANGE.finditer(part):
-            if not re.search(r"[ap]\.?m", m[0], re.I) and QUANTITY.match(part, m.end()):
+        tokens = told.tokens(part)
+        named = told.days_in(tokens)
+        for m in told.times_in(tokens):
+            if not re.search(r"[ap]\.?m", part[m.start : m.end], re.I) and QUANTITY.match(part, m.end):
                 continue
-            if (times := times_of(m, about)) is None:
+            if (times := told.meaning(m, about)) is None:
                 continue
             start, end, silent = times
-            before = [d for at, d in named if at <= m.start()]
-            days = before[-1] if before else named[0][1] if named else None
+            before = [d.days for d in named if d.start <= m.start]
+            days = before[-1] if before else named[0].days if named else None
             assumed = days is None and about
             days = [1, 2, 3, 4, 5] if assumed else days
             clean = about and days is not None and not (silent and start is not None and end is not None and start > end)
@@ -130,7 +82,7 @@ def windows_of(text: str | None) -> list[dict]:
                 continue
             seen.add(key)
             length = None if start is None or end is None else (end - start) % 1440
-            near = bool(HOUR.search(part[max(0, m.start() - 140) : m.end() + 40]))
+            near = bool(HOUR.search(part[max(0, m.start - 140) : m.end + 40]))
             out.append({"days": days or [], "start": start, "end": end, "notes": "days assumed Mon–Fri (none stated)" if assumed else None, "clean": clean, "plausible": clean and near and (length is None or 0 < length <= 360), "evidence": part, "offers": offers_of(part) if clean else []})
     return out
 
@@ -139,7 +91,7 @@ def parse(pages: DataFrame, text: str = "text") -> DataFrame:
     """``pages`` with ``windows``, the windows that each ``text`` tells. Null and empty texts tell none."""
 
     @F.pandas_udf(KIND)
-    def told(texts: pd.Series) -> pd.Series:
+    def found(texts: pd.Series) -> pd.Series:
         return pd.Series([windows_of(t) for t in texts])
 
-    return pages.withColumn("windows", told(F.col(text)))
+    return pages.withColumn("windows", found(F.col(text)))

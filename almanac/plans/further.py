@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.operators import gates, spatial, tables
+from almanac.operators import gates, spatial, tables, told
 from almanac.operators.windows import window_struct
 from almanac.plans import inputs as i
 from almanac.plans.catalogue import query
@@ -151,3 +151,58 @@ def s4(s, d):
     path = _folder(s, "fixtures")
     w.write.json(path)
     return s.read.schema("id long, place long, days array<int>, all_day boolean").json(path)
+
+
+# ---- days and times told in text
+
+_SHORT, _LONG = ("Mon", "Tues", "Wed", "Thurs", "Fri", "Sat", "Sun"), ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
+def _said(s, d, sentence):
+    """Whole documents, each with a sentence after it; their own texts name no days and tell no ranges of times."""
+    return t(s, d, "documents").select("doc_id", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[0-9]", "#"), F.lit("\n"), sentence).alias("text"))
+
+
+@query(
+    "t12_days_told",
+    """WITH k AS (SELECT doc_id, doc_id % 7 + 1 AS a, doc_id * 3 % 7 + 1 AS b, doc_id * 5 % 7 + 1 AS c FROM documents)
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN [a] WHEN 1 THEN list_sort(list_transform(range(0, (b - a + 7) % 7 + 1), lambda i: (a - 1 + i) % 7 + 1)) WHEN 2 THEN list_sort(list_distinct([a, b, c]))
+  WHEN 3 THEN [1, 2, 3, 4, 5] WHEN 4 THEN [6, 7] ELSE [1, 2, 3, 4, 5, 6, 7] END AS days FROM k""",
+)
+def t12(s, d):
+    """Single days, ranges (over the week's end too), lists and groups of days."""
+    k = F.col("doc_id")
+    name = lambda names, x: F.get(F.array(*[F.lit(n) for n in names]), (x % 7).cast("int"))
+    joiner = F.when(k % 4 == 0, " - ").when(k % 4 == 1, " through ").when(k % 4 == 2, "\u2013").otherwise(" to ")
+    said = (
+        F.when(k % 6 == 0, name(_SHORT, k))
+        .when(k % 6 == 1, F.concat(name(_LONG, k), joiner, name(_SHORT, k * 3)))
+        .when(k % 6 == 2, F.concat(name(_SHORT, k), F.lit(", "), name(_LONG, k * 3), F.lit(" & "), name(_SHORT, k * 5)))
+        .when(k % 6 == 3, "on weekdays")
+        .when(k % 6 == 4, "WEEKENDS")
+        .otherwise("every day")
+    )
+    return told.read(_said(s, d, F.concat(F.lit("Join us "), said, F.lit(" in the bar")))).select("doc_id", F.explode("days").alias("days"))
+
+
+@query(
+    "t13_times_told",
+    """WITH k AS (SELECT doc_id, doc_id % 12 + 1 AS a, doc_id * 5 % 12 + 1 AS b, doc_id % 4 * 15 AS m, doc_id % 11 + 13 AS c, doc_id * 7 % 11 + 13 AS e FROM documents WHERE doc_id % 7 <> 6)
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN (a % 12 + 12) * 60 + m WHEN 1 THEN (a % 12 + 12) * 60 WHEN 2 THEN c * 60 WHEN 3 THEN NULL WHEN 4 THEN a % 12 * 60 ELSE (a % 12 + 12) * 60 END AS start,
+  CASE doc_id % 7 WHEN 0 THEN b % 12 * 60 WHEN 1 THEN (b % 12 + 12) * 60 WHEN 2 THEN e * 60 + 30 WHEN 3 THEN b % 12 * 60 WHEN 4 THEN NULL ELSE (b % 12 + 12) * 60 + m END AS "end", doc_id % 7 IN (2, 5) AS silent FROM k""",
+)
+def t13(s, d):
+    """Both halves told, one for both, 24 hours, from the opening, to the close, none told; and hours that are none."""
+    k = F.col("doc_id")
+    text = lambda c: c.cast("string")
+    a, b, m = text(k % 12 + 1), text(k * 5 % 12 + 1), F.lpad(text(k % 4 * 15), 2, "0")
+    said = (
+        F.when(k % 7 == 0, F.concat(a, F.lit(":"), m, F.lit(" p.m. to "), b, F.lit("am")))
+        .when(k % 7 == 1, F.concat(a, F.lit("-"), b, F.lit(" PM")))
+        .when(k % 7 == 2, F.concat(text(k % 11 + 13), F.lit(" till "), text(k * 7 % 11 + 13), F.lit(":30")))
+        .when(k % 7 == 3, F.concat(F.lit("open until "), b, F.lit("am")))
+        .when(k % 7 == 4, F.concat(a, F.lit("am til close")))
+        .when(k % 7 == 5, F.concat(a, F.lit(" \u2013 "), b, F.lit(":"), m))
+        .otherwise(F.concat(F.lit("seats 38-80, or 14pm to "), b, F.lit("pm")))
+    )
+    return told.read(_said(s, d, F.concat(F.lit("Come "), said, F.lit(".")))).select("doc_id", F.inline("times")).select("doc_id", "start", "end", "silent")
