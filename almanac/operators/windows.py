@@ -33,14 +33,35 @@ def merge_duplicates(windows: DataFrame) -> DataFrame:
     )
 
 
+def covered_days(bare: DataFrame, offering: DataFrame, key: str, areas: bool = False) -> DataFrame:
+    """(place, key, covering): for the windows ``bare`` (place, key, days, start, end, all_day, and area) the days on which a window of
+    ``offering`` (the same columns) of their place spans their times; with ``areas``, one that is not of another area. Windows
+    without such a day have no row.
+
+    By a sweep: the windows of a place and a day in order of their start, with the latest end so far; so a place with very many
+    windows costs their sort, and no pairs are made. Ties in start are seen by each other."""
+    at = weekly.clock(window_struct())
+
+    def of(df: DataFrame, is_bare: bool, number: Column) -> DataFrame:
+        area = F.coalesce("area", F.lit("all")) if areas else F.lit("all")
+        timed = df.select("place", number.alias("key"), F.lit(is_bare).alias("bare"), area.alias("area"), at["a"].alias("a"), at["b"].alias("b"), "days")
+        return timed.where("a is not null").withColumn("day", F.explode("days")).drop("days")
+
+    both = of(bare, True, F.col(key)).unionByName(of(offering, False, F.lit(None).cast(bare.schema[key].dataType)))
+    latest = lambda by, when: F.max(F.when(~F.col("bare") & when, F.col("b"))).over(W.partitionBy("place", "day", *by).orderBy("a").rangeBetween(W.unboundedPreceding, W.currentRow))
+    reach = F.when(F.col("area") == "all", latest([], F.lit(True))).otherwise(F.greatest(latest([], F.col("area") == "all"), latest(["area"], F.lit(True)))) if areas else latest([], F.lit(True))
+    met = both.withColumn("reach", reach).where(F.col("bare") & (F.col("reach") >= F.col("b")))
+    return met.groupBy("place", F.col("key").alias(key)).agg(F.array_sort(F.collect_set("day")).alias("covering"))
+
+
 def reconcile(windows: DataFrame, hours: DataFrame) -> DataFrame:
     """What is shown of each place's windows, and why the rest isn't. ``hours``: place, periods (one row at most per place).
 
     In order, each step seeing what the one before left: equal windows merge; days on which the place is closed drop; windows
     that are opening hours go if they offer nothing or copy a real window's offers; windows without offers lose the days that
     an offering window covers, or go if that is most of them; of overlapping windows that contradict each other the worse
-    evidenced go. Nothing is deleted: ``active`` and ``reasons`` say what became of each. Pairs are joined inside a place
-    only, after merging. What three steps read is cut with a checkpoint, so that windows are aggregated once."""
+    evidenced go. Nothing is deleted: ``active`` and ``reasons`` say what became of each. Pairs that overlap are joined inside
+    a place only, after merging; what covers a window is found by a sweep. What three steps read is cut with a checkpoint, so that windows are aggregated once."""
     merged = merge_duplicates(windows).join(hours.select("place", "periods"), "place", "left")
     opening = F.transform("periods", lambda p: p["open_day"])
     known = F.coalesce(F.size("periods"), F.lit(0)) > 0
@@ -54,12 +75,7 @@ def reconcile(windows: DataFrame, hours: DataFrame) -> DataFrame:
     )
     shaped = cut(shaped)
     bare, offering = shaped.where("active and offers = ''"), shaped.where("active and offers <> '' and not shaped")
-    covers = (
-        bare.alias("b")
-        .join(offering.alias("o"), (F.col("b.place") == F.col("o.place")) & weekly.contains(window_struct("o"), window_struct("b")))
-        .groupBy("b.place", "b.pos")
-        .agg(F.array_distinct(F.flatten(F.collect_list("o.days"))).alias("covering"))
-    )
+    covers = covered_days(bare, offering, "pos")
     left = shaped.join(covers, ["place", "pos"], "left").withColumn("covered", F.array_intersect("days", F.coalesce("covering", F.array().cast("array<int>"))))
     most = 2 * F.size("covered") > F.size("days")
     covered = left.withColumn("cover_clip", F.size("covered") > 0).withColumn("active", F.col("active") & ~most).withColumn("days", F.when(F.col("cover_clip") & ~most, F.array_except("days", "covered")).otherwise(F.col("days")))
@@ -85,12 +101,7 @@ def superseded(windows: DataFrame, authoritative: bool = False) -> DataFrame:
     area, an equal one of the whole place stays."""
     bare = windows.where("n_offers = 0").withColumn("area", F.coalesce("area", F.lit("all")))
     offering = windows.where("n_offers > 0")
-    covers = (
-        bare.alias("b")
-        .join(offering.alias("o"), (F.col("b.place") == F.col("o.place")) & weekly.contains(window_struct("o"), window_struct("b")) & ~weekly.areas_differ(F.col("o.area"), F.col("b.area")))
-        .groupBy("b.place", "b.id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("o.days"))).alias("covering"))
-    )
+    covers = covered_days(bare, offering, "id", areas=True)
     met = bare.join(covers, ["place", "id"], "left").withColumn("covering", F.coalesce("covering", F.array().cast("array<int>")))
     whole = F.arrays_overlap("days", "covering") if authoritative else F.size(F.array_except("days", "covering")) == 0
     judged = met.withColumn("gone", weekly.clock(window_struct()).isNotNull() & F.coalesce(whole, F.lit(False)))

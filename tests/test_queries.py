@@ -21,4 +21,21 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracles())))
 def test_runs(spark, name):
     df = catalogue.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
+
+
+def test_plain_reconciling_over_the_whole_tables(spark):
+    from collections import defaultdict
+
+    from almanac.plans import inputs
+    from tests.test_windows import plain_reconcile
+
+    places, hours = defaultdict(list), {r.place: r.periods for r in inputs.hours(spark, SF).collect()}
+    for r in inputs.windows(spark, SF).where("active").collect():
+        places[r.place].append(r.asDict())
+    got = defaultdict(set)
+    for r in catalogue.queries()["c6_reconcile"](spark, SF).collect():
+        got[r.place].add((r.pos, tuple(r.days), r.active, tuple(r.reasons)))
+    for place, rows in places.items():
+        assert got[place] == plain_reconcile(rows, [tuple(p) for p in hours[place] or []]), place
+    assert len(got) == len(places)
