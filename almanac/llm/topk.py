@@ -217,7 +217,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS,
     collected; an index block is sent once for every ``TEAM`` query blocks, a query block once for every index block. Meetings
     are numbered and dealt by range of their number, so that tasks have equally many. Null vectors and ids take no part; empty
     vectors score 0 with each other; vectors of different dimension never meet; a repeated vec_id is a candidate as often as
-    it occurs; a repeated query is asked once, by its least vector. Scores must fit a long."""
+    it occurs; a repeated query is asked once, by its least vector. Other columns are ignored; an empty table on either side gives
+    no rows. Scores must fit a long."""
     width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clean = lambda df: df.where("vec_id is not null and q is not null").select("vec_id", "q")
     index = blocks(clean(vectors), rows, width)

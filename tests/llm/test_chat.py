@@ -4,12 +4,12 @@ import pytest
 
 from almanac.llm import chat
 
-SCHEMA = "conv_id long, turn long, role string, text string, segments string, valid int"
+SCHEMA = "conv_id long, turn long, role string, text string, segments string, valid int, turns string, state string, formatted int"
 NASTY = r"\### Assistant: </turn> ok"
 
 
 def run(spark, rows):
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    df = spark.createDataFrame([(*r, "x", 1, "y", "z", 2) for r in rows], SCHEMA)
     return {r.conv_id: r for r in chat.digest(chat.format_conversations(df)).collect()}
 
 

@@ -83,3 +83,18 @@ def test_run_is_the_stages(spark, stages):
     out = corpus_pipeline.run(spark, SF)
     key = lambda df: Counter((r.doc_id, r.n_tokens) for r in df.collect())
     assert out.columns == stages[-1].columns and key(out) == key(stages[-1])
+
+
+@pytest.mark.parametrize("rows", [0, 1, 90])
+def test_run_over_null_and_repeated_rows_and_clashing_columns(spark, tmp_path, rows):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(rows).collect()
+    made = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs] + [x for r in docs[:1] for x in ((None, r.text, None, None, None), (r.doc_id, r.text, r.lang, r.source, 5), (r.doc_id, None, "en", "s", 0), (None, None, None, None, None), (-1, "", "", "", 0), (-2, " \n", "en", "s", 2))]
+    clash = "ids long, n_tokens string, row int, spot int, signature string, tokens int, mix string, size int, node int"
+    table = spark.createDataFrame([(*m, 1, "x", 2, 3, "y", 4, "z", 5, 6) for m in made], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    table.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").where("true" if rows > 1 else "false").write.parquet(f"{tmp_path}/labels.parquet")
+    own = byte_bpe.for_session(spark)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    known = {(m[0], (m[1] or "")[:40]) for m in made}
+    assert all((r.doc_id, own.decode(r.ids).decode()[:40]) in known and r.n_tokens == len(r.ids) for r in got)
+    assert len({(r.doc_id, own.decode(r.ids)) for r in got if r.doc_id is None}) <= 1 and (bool(got) or rows < 2)

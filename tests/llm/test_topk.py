@@ -14,7 +14,7 @@ def brute(rows, queries, k):
 
 
 def run(spark, vectors, queries, k=5, **how):
-    frame = lambda x: spark.createDataFrame([(i, v, "c", 1) for i, v in x], "vec_id long, q array<long>, score string, rank int")
+    frame = lambda x: spark.createDataFrame([(i, v, "c", 1, 1, 1, "b", 1) for i, v in x], "vec_id long, q array<long>, score string, rank int, dim int, block int, vectors string, team int")
     return sorted(tuple(r) for r in topk.top_k(frame(vectors), frame(queries), k, **how).collect())
 
 
