@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanac.operators import gates, spatial, tables, told
+from almanac.functions import geo
+from almanac.operators import audit, gates, spatial, tables, told
 from almanac.operators.windows import window_struct
 from almanac.plans import inputs as i
 from almanac.plans.catalogue import query
@@ -206,3 +207,40 @@ def t13(s, d):
         .otherwise(F.concat(F.lit("seats 38-80, or 14pm to "), b, F.lit("pm")))
     )
     return told.read(_said(s, d, F.concat(F.lit("Come "), said, F.lit(".")))).select("doc_id", F.inline("times")).select("doc_id", "start", "end", "silent")
+
+
+# ---- corrections, tiles
+
+
+@query(
+    "c11_confident_corrections",
+    f"""WITH {i.WINDOWS}, w AS (SELECT * FROM windows QUALIFY row_number() OVER (PARTITION BY place ORDER BY id) = 1),
+s AS (SELECT *, NOT all_day AND start_ IS NOT NULL AND end_ IS NOT NULL AND CASE WHEN end_ <= start_ THEN end_ + 1440 ELSE end_ END - start_ >= CASE WHEN start_ <= 660 THEN 360 ELSE 480 END AS shaped FROM w)
+SELECT place, NOT (id % 5 = 0 OR id % 3 = 2) AND id % 3 = 0 AND NOT (shaped AND offers = '') AS confident FROM s""",
+)
+def c11(s, d):
+    """A corrected window for each place, from pages of three kinds: of offers, of nothing, of a year long gone."""
+    k = F.col("id")
+    w = i.windows(s, d).withColumn("rank", F.row_number().over(W.partitionBy("place").orderBy("id"))).where("rank = 1")
+    source = F.when(k % 3 == 0, "https://own.com/happy-hour").when(k % 3 == 1, "https://own.com/contact").otherwise("https://own.com/events/2019/happy-hour")
+    return audit.confident_correction(w.withColumn("source", source).withColumn("notes", F.when(k % 5 == 0, "Days assumed")), 2024)
+
+
+@query("g9_area_tiles", f"WITH {i.AREAS} SELECT area, round(CAST(west + (j + 0.5) * 0.1 AS DOUBLE), 6) AS x, round(CAST(south + (k + 0.5) * 0.1 AS DOUBLE), 6) AS y FROM areas, range(0, 6) a(j), range(0, 6) b(k)")
+def g9_areas(s, d):
+    """Centres of the tiles over each area's box."""
+    b = geo.box(F.col("shape"))
+    boxes = i.areas(s, d).select("area", b.alias("b"))
+    return boxes.select("area", F.inline(geo.tiles(F.col("b.west"), F.col("b.south"), F.col("b.east"), F.col("b.north"), 0.1))).select("area", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("u3_related_days", f"WITH {i.WINDOWS} SELECT a.id AS first, b.id AS second, len(a.days) < len(b.days) AND list_has_all(b.days, a.days) AS narrower, a.days = b.days AS same FROM windows a JOIN windows b ON a.place = b.place AND a.id < b.id AND list_has_any(a.days, b.days) AND a.start_ = b.start_")
+def u3_related(s, d):
+    """Windows of a place that start together and share a day: the first day that they share, the place and the start are the key of an
+    equi-join, so only related pairs are made, each once."""
+    from almanac.functions import weekly
+
+    w = i.windows(s, d).select("place", "start", "id", "days", F.explode("days").alias("day"))
+    both = w.alias("a").join(w.alias("b"), ["place", "start", "day"]).where("a.id < b.id")
+    first = F.array_min(F.array_intersect("a.days", "b.days")) == F.col("day")
+    return both.where(first).select(F.col("a.id").alias("first"), F.col("b.id").alias("second"), weekly.proper_subset(F.col("a.days"), F.col("b.days")).alias("narrower"), (F.col("a.days") == F.col("b.days")).alias("same"))

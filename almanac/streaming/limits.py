@@ -71,7 +71,8 @@ def sliding(attempts: DataFrame) -> DataFrame:
 
 
 def sliding_stream(attempts: DataFrame) -> DataFrame:
-    """As ``sliding`` over a stream, one state of recent times for each key."""
+    """As ``sliding`` over a stream: decided at once, in the order of a batch, from one state of recent times for each key, which is kept.
+    For attempts out of order, and for state that ends, see ``ordered.sliding_in_order``."""
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
