@@ -114,3 +114,34 @@ def test_soft_deletion_can_be_repeated(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, tables.soft_deleted(once, why, F.lit("t2")).collect())) == want
     marked = tables.mark_reverted(spark.createDataFrame([(1, "applied"), (1, "pending"), (2, "applied"), (None, "applied")], "t int, status string"), spark.createDataFrame([(1,), (None,)], "t int"), "t")
     assert sorted(map(str, (tuple(r) for r in marked.collect()))) == sorted(map(str, [(1, "reverted"), (1, "pending"), (2, "applied"), (None, "applied")]))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_the_query_of_hosts_against_the_greedy_fold(spark):
+    from almanac.functions import names
+    from almanac.plans import catalogue
+
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    keyed = part.select((F.col("p_partkey") % 5).cast("string").alias("city"), names.area_key(F.col("p_name")).alias("key")).groupBy("city", "key").count().collect()
+    got = {(r.city, r.key): r.host for r in catalogue.queries()["g15_name_clusters"](spark, SF).collect()}
+    assert got == greedy([(r.city, r.key, r["count"]) for r in keyed]) and len(got) > 50
+
+
+def test_the_query_of_tiles_against_splitting(spark):
+    from almanac.plans import catalogue, inputs
+
+    def split(x0, y0, size, held, depth):
+        own = [(x, y) for x, y in held if x0 <= x < x0 + size and y0 <= y < y0 + size]
+        if not own:
+            return []
+        if len(own) < 60 or depth == 4:
+            return [(round(x0, 9), round(y0, 9), size, len(own))]
+        half = size / 2
+        return [t for i in (0, 1) for j in (0, 1) for t in split(x0 + i * half, y0 + j * half, half, own, depth + 1)]
+
+    for folder in (SF, "/root/testdata/sf0.01"):
+        points = [(r.x, r.y) for r in inputs.points(spark, folder).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).collect()]
+        got = sorted((round(r.x0, 9), round(r.y0, 9), r["size"], r.n) for r in catalogue.queries()["g10_quadtree"](spark, folder).collect())
+        assert got == sorted(split(-122.0, 37.0, 2.0, points, 0))
