@@ -129,11 +129,12 @@ def quadtree(tile: DataFrame, points: DataFrame, most: int, depth: int) -> DataF
 def near_keys(keys: DataFrame, by: list[str], key: str = "key", least: int = 6) -> DataFrame:
     """(by..., a, b) of every two different keys of a group (rows of ``keys`` with equal ``by``) at most one edit apart, both of ``least``
     letters or more, a before b: keys that are so near share the key itself or one of the two without one letter, so an
-    equi-join on these finds them. Null keys are near to none."""
+    equi-join on the hashes of these finds them. Null keys are near to none. There are far more forms than keys, which Spark's
+    estimates don't know, so the join is told to shuffle."""
     own = keys.where(F.length(key) >= least).select(*by, F.col(key).alias("a")).distinct()
     without = F.transform(F.sequence(F.lit(1), F.length("a")), lambda i: F.concat(F.substring("a", F.lit(1), i - 1), F.substring("a", i + 1, F.length("a"))))
-    forms = own.select(*by, "a", F.explode(F.array_distinct(F.concat(F.array("a"), without))).alias("form"))
-    met = forms.alias("l").join(forms.withColumnRenamed("a", "b").alias("r"), [*by, "form"]).where("a < b")
+    forms = own.select(*by, "a", F.explode(F.transform(F.array_distinct(F.concat(F.array("a"), without)), lambda f: F.xxhash64(f))).alias("form"))
+    met = forms.alias("l").join(forms.withColumnRenamed("a", "b").alias("r").hint("merge"), [*by, "form"]).where("a < b")
     return met.where(F.levenshtein("a", "b") <= 1).select(*by, "a", "b").distinct()
 
 
