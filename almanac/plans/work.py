@@ -86,12 +86,14 @@ def p6(s, d):
 @query("j18_chain_registry", f"""WITH {NAMES}, r AS (SELECT unnest({_list(names.CHAINS)}) AS c), n AS (SELECT k, {NORMAL} AS n FROM names)
 SELECT k, list_sort(list(DISTINCT c)) AS chains FROM n JOIN r ON n = c OR n LIKE c || ' %' OR n LIKE '% ' || c || ' %' OR n LIKE '% ' || c GROUP BY k""")
 def j18(s, d):
-    """Every run of a name's words is a key, so names meet the registry by an equi-join whatever the size of either."""
+    """Every run of a name's words is a key, so names meet the registry by an equi-join. The registry is a fixed list, so it and not
+    the names, whose runs Spark can't estimate, goes to every task."""
     longest = max(c.count(" ") + 1 for c in names.CHAINS)
     word = F.split(names.normalised(F.col("name")), " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - a + 1)), lambda n: F.array_join(F.slice("w", a, n), " "))))
     spans = name_rows(s, d).where("name is not null").select("k", word.alias("w")).select("k", F.explode(F.array_distinct(runs)).alias("c"))
-    return spans.join(s.createDataFrame([(c,) for c in names.CHAINS], "c string"), "c").groupBy("k").agg(F.sort_array(F.collect_set("c")).alias("chains"))
+    registry = F.broadcast(s.createDataFrame([(c,) for c in names.CHAINS], "c string"))
+    return spans.join(registry, "c").groupBy("k").agg(F.sort_array(F.collect_set("c")).alias("chains"))
 
 
 @query("w4_top_five", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 5")
