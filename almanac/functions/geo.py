@@ -57,6 +57,13 @@ def box(shape: Column) -> Column:
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
 
+def on_edge(x: Column, y: Column, shape: Column) -> Column:
+    """On an edge of one of the rings, exactly so where the edge follows a parallel or a meridian."""
+    within = lambda c, v, e: v.between(F.least(e["a"][c], e["b"][c]), F.greatest(e["a"][c], e["b"][c]))
+    flat = lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) == (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
+    return F.coalesce(F.exists(F.flatten(F.transform(F.flatten(shape), edges)), lambda e: within("x", x, e) & within("y", y, e) & flat(e)), F.lit(False))
+
+
 
 def in_box(x: Column, y: Column, b: Column, margin: Column | float = 0.0) -> Column:
     return x.between(b["west"] - margin, b["east"] + margin) & y.between(b["south"] - margin, b["north"] + margin)

@@ -98,7 +98,7 @@ def dissolved(shapes: DataFrame, by: list[str], grid: float = GRID) -> DataFrame
     outer = ring.where("size > 0").select("group", "ring", F.array(F.array("points")).alias("shape"), "size")
     mid = F.struct(((F.col("points")[0]["x"] + F.col("points")[1]["x"]) / 2).alias("x"), ((F.col("points")[0]["y"] + F.col("points")[1]["y"]) / 2).alias("y"))
     hole = ring.where("size < 0").select("group", F.col("ring").alias("hole"), "points", mid.alias("m")).select("group", "hole", "points", "m.x", "m.y")
-    inside = spatial.near_shapes(hole, outer, 0.0, same=("group",)).groupBy("group", "hole").agg(F.min_by(F.struct("ring", "points"), "size").alias("b"))
+    inside = spatial.near_shapes(hole, outer, 0.0, same=("group",)).where(geo.in_shape(F.col("x"), F.col("y"), F.col("shape"))).groupBy("group", "hole").agg(F.min_by(F.struct("ring", "points"), "size").alias("b"))
     holes = inside.groupBy("group", F.col("b.ring").alias("ring")).agg(F.sort_array(F.collect_list("b.points")).alias("holes"))
     polygons = outer.join(holes, ["group", "ring"], "left").withColumn("polygon", F.concat(F.col("shape")[0], F.coalesce("holes", F.array().cast(f"array<{geo.RING}>"))))
     whole = polygons.groupBy("group").agg(F.array_sort(F.collect_list("polygon")).alias("shape"))

@@ -52,7 +52,7 @@ def on_levels(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
 
 def near_shapes(points: DataFrame, shapes: DataFrame, metres: float, size: float = 0.05, same: tuple[str, ...] = (), on_spheroid: bool = False) -> DataFrame:
     """Every pair of a point (x, y and others) and a shape (shape and others) at most ``metres`` apart, with ``distance`` (0
-    inside). Columns of ``same`` must be equal and are kept once. First the cells, then the box, then, but in a shape's inner cells,
+    inside and on an edge). Columns of ``same`` must be equal and are kept once. First the cells, then the box, then, but in a shape's inner cells,
     the exact distance: on a local
     plane, or ``on_spheroid`` along geodesics, whose metres differ from the plane's by up to six in a thousand. The box is widened
     by twice the distance, which holds up to 60 degrees of latitude."""
@@ -60,7 +60,7 @@ def near_shapes(points: DataFrame, shapes: DataFrame, metres: float, size: float
     cells = cut(with_cells(shapes, size, margin))
     met = on_levels(points, cells, size).join(cells, ["level", "cx", "cy", *same]).where(geo.in_box(F.col("x"), F.col("y"), F.col("box"), margin))
     by = spheroid if on_spheroid else geo
-    exact = by.metres_to_shape(F.col("x"), F.col("y"), F.col("shape")) if metres else F.when(geo.in_shape(F.col("x"), F.col("y"), F.col("shape")), 0.0)
+    exact = by.metres_to_shape(F.col("x"), F.col("y"), F.col("shape")) if metres else F.when(geo.in_shape(F.col("x"), F.col("y"), F.col("shape")) | geo.on_edge(F.col("x"), F.col("y"), F.col("shape")), 0.0)
     return met.withColumn("distance", F.when(F.col("inner"), 0.0).otherwise(exact)).where(F.col("distance") <= metres).drop("level", "cx", "cy", "box", "inner")
 
 

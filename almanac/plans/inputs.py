@@ -130,8 +130,10 @@ def areas(spark: SparkSession, d: str) -> DataFrame:
 
     i, j, c = F.col("i"), F.col("j"), F.col("n_nationkey")
     grid = table(spark, d, "nation").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    west, south = i * 0.6 - 121.9, j * 0.6 + 37.1
-    return grid.select(c.alias("city"), (c * 9 + i * 3 + j).cast("long").alias("area"), F.when((i + j) % 2 == 0, "fine").otherwise("coarse").alias("tier"), ((c + i) % 3).cast("int").alias("recognisability"), geo.rectangle(west, south, west + 0.55, south + 0.55).alias("shape"))
+    # SQL's bounds are decimals: the doubles nearest to them, by one division of whole numbers
+    west, east = (i * 6 - 1219) / 10.0, (i * 60 - 12190 + 55) / 100.0
+    south, north = (j * 6 + 371) / 10.0, (j * 60 + 3710 + 55) / 100.0
+    return grid.select(c.alias("city"), (c * 9 + i * 3 + j).cast("long").alias("area"), F.when((i + j) % 2 == 0, "fine").otherwise("coarse").alias("tier"), ((c + i) % 3).cast("int").alias("recognisability"), geo.rectangle(west, south, east, north).alias("shape"))
 
 
 AREAS = """areas AS (

@@ -57,7 +57,7 @@ def a24(s, d):
 @query("a26_share_inside", f"WITH {i.POINTS}, {i.AREAS}, p AS (SELECT id, city, bool_or(x > west AND x < west + 0.55 AND y > south AND y < south + 0.55) AS inside FROM points JOIN areas USING (city) GROUP BY 1, 2) SELECT city, count(*) FILTER (WHERE inside) * 1.0 / nullif(count(*), 0) AS share FROM p GROUP BY city")
 def a26(s, d):
     p = i.points(s, d)
-    inside = spatial.near_shapes(p, i.areas(s, d), 0.0, same=("city",)).select("id").distinct().withColumn("hit", F.lit(1))
+    inside = spatial.near_shapes(p, i.areas(s, d), 0.0, same=("city",)).where(~geo.on_edge(F.col("x"), F.col("y"), F.col("shape"))).select("id").distinct().withColumn("hit", F.lit(1))
     return p.join(inside, "id", "left").groupBy("city").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
 
 
