@@ -84,17 +84,26 @@ def levels(tree: DataFrame, key: str, parent: str) -> DataFrame:
     several levels counts at the first.
 
     By pointer doubling: each round a node looks twice as far up, through the nodes that it looked at before, so a chain of n nodes
-    takes log2(n) rounds of two joins. A round in which no node finds a root leaves only cycles. Each round is cut."""
-    nodes = tree.select(F.col(key).alias("k"), F.col(parent).alias("p")).where("k is not null").distinct()
-    known = nodes.select(F.col("k").alias("p")).distinct().withColumn("there", F.lit(True))
-    marked = cut(nodes.join(known, "p", "left").select("k", F.when(F.col("there"), F.col("p")).alias("up")).distinct())
-    done = cut(marked.where("up is null").select("k", F.lit(0).alias("depth")).distinct())
+    takes log2(n) rounds of two joins. A round in which no node finds a root leaves only cycles. Each round is cut.
+
+    Rows without a parent are in no join, where they would be one key. Rows are dealt by key before they are made distinct, since
+    keys hardly repeat, so no task holds all keys of its share of a file; and nothing is broadcast by the size of a file, which
+    tells little of how many keys are in it."""
+    width = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = tree.select(F.col(key).alias("k"), F.col(parent).alias("p")).where("k is not null")
+    below, known = nodes.where("p is not null"), nodes.select(F.col("k").alias("p")).hint("merge")
+    tied = below.join(known, "p", "left_semi").select("k", F.col("p").alias("up"))
+    free = nodes.where("p is null").select("k").unionByName(below.join(known, "p", "left_anti").select("k"))
+    marked = cut(tied.unionByName(free.withColumn("up", F.lit(None).cast(nodes.schema["p"].dataType))))
+    done = cut(marked.where("up is null").select("k").repartition(width, "k").distinct().withColumn("depth", F.lit(0)))
     # ups: what stands ``far`` steps above k; whoever is less deep has none
-    every, ups, far = done, marked.where("up is not null"), 1
+    every, ups, far = done, cut(marked.where("up is not null").repartition(width, "k").distinct()), 1
     while not done.isEmpty():
         above = every.select(F.col("k").alias("up"), (F.col("depth") + far).cast("int").alias("depth"))
-        done = cut(ups.join(every.select("k"), "k", "left_anti").join(above, "up").groupBy("k").agg(F.min("depth").alias("depth")))
-        ups = cut(ups.join(ups.select(F.col("k").alias("up"), F.col("up").alias("over")), "up").select("k", F.col("over").alias("up")).distinct())
+        left = ups.join(every.select("k").hint("merge"), "k", "left_anti")
+        done = cut(left.join(above.hint("merge"), "up").groupBy("k").agg(F.min("depth").alias("depth")))
+        over = ups.select(F.col("k").alias("up"), F.col("up").alias("over"))
+        ups = cut(ups.join(over.hint("merge"), "up").select("k", F.col("over").alias("up")).distinct())
         every = every.unionByName(done)
         far *= 2
     return every.withColumnRenamed("k", key)
