@@ -8,6 +8,7 @@ likes. Text is never dropped for the sake of layout: only white space has bounds
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -55,10 +56,10 @@ VALUES = {
     "visibility": set(words("visible hidden collapse inherit initial unset revert revert-layer")),
     "content-visibility": set(words("visible hidden auto inherit initial unset revert revert-layer")),
 }
-#: Columns up to which nested items are indented, characters of white space that align the tables of one page, and the widest
-#: span (HTML's own limit). Deeper items stay at the last indentation; a table that would need more padding than is left is set
-#: with two spaces between its cells, so that the text of a page is never much longer than the page.
-INDENT, PADDING, SPAN = 80, 1 << 20, 1000
+#: Columns up to which nested items are indented, characters of white space that align a table for each character and cell of its
+#: own, and the widest span (HTML's own limit). Deeper items stay at the last indentation. ``PADDING`` is a proportion, so that the
+#: text of a page is never much longer than the page, and a table has the same columns however many such rows or tables there are.
+INDENT, PADDING, SPAN = 80, 64, 1000
 
 
 class Node:
@@ -325,10 +326,10 @@ def _shown(node: Node, seen: bool) -> tuple[bool, bool]:
 
 
 class Page:
-    """What is left of a page's ``PADDING``."""
+    """The white space that aligns the tables within a page or a table, and how many cells they have."""
 
     def __init__(self):
-        self.padding = PADDING
+        self.padding = self.cells = 0
 
 
 def _walk(node: Node, flow: Flow, seen: bool, exact: bool, page: Page) -> Iterator:
@@ -422,12 +423,16 @@ def _rows(table: Node, seen: bool) -> tuple[list, list]:
 def _table(table: Node, seen: bool, page: Page) -> Iterator:
     """Captions, then rows in order of head, bodies and foot. Columns are as wide as their widest cell and two spaces apart, and
     together as wide as a cell that spans them; a cell of many lines takes many lines of its row; the places of spans stay
-    empty. A rowspan ends with its group of rows, and one of zero goes on to that end."""
+    empty. A rowspan ends with its group of rows, and one of zero goes on to that end.
+
+    Every cell begins where its column does. Where that would take more than ``PADDING`` for each character and cell of the table
+    (one cell as long as a page above hundreds of short ones), no column is wider than a half, a quarter and so on of the widest;
+    what is wider stands out, and the row goes on below it, in its columns."""
     captions, rows = _rows(table, seen)
     out = []
     for caption, visible in captions:
         out += yield _lines(caption, visible, page)
-    grid, busy, group = [], {}, 0
+    grid, busy, group, inner = [], {}, 0, Page()
     for row, visible, number in rows:
         cells, column = {}, 0
         busy = {c: n - 1 for c, n in busy.items() if n > 1} if number == group else {}
@@ -444,19 +449,28 @@ def _table(table: Node, seen: bool, page: Page) -> Iterator:
             span = min(SPAN, max(1, _number(cell.attributes.get("colspan"), 1)))
             down = _number(cell.attributes.get("rowspan"), 1)
             down = len(rows) + 1 if down == 0 else max(1, down)
-            cells[column] = ((yield _lines(cell, own, page)), span)
+            cells[column] = ((yield _lines(cell, own, inner)), span)
             for c in range(column, column + span):
                 if down > 1:
                     busy[c] = max(busy.get(c, 0), down)
             column += span
         grid.append(cells)
+    inner.cells += sum(map(len, grid))
     widths = _widths(grid)
-    starts = _starts(grid, widths)
-    need = sum(starts[max(cells)] * max(len(lines) for lines, _ in cells.values()) for cells in grid if len(cells) > 1 or cells and max(cells))
-    if need > page.padding:
-        starts = dict.fromkeys(starts, 0)
-    else:
-        page.padding -= need
+    most = max(widths.values(), default=0)
+    text = inner.cells + sum(len(line) - line.count(" ") for cells in grid for lines, _ in cells.values() for line in lines) if widths else 0
+    while (made := _set(grid, _starts(grid, widths), PADDING * text - inner.padding if most else math.inf)) is None:
+        most //= 2
+        widths = {c: min(w, most) for c, w in widths.items()}
+    page.padding += inner.padding + made[1]
+    page.cells += inner.cells
+    return out + made[0]
+
+
+def _set(grid: list[dict], starts: dict[int, int], room: float) -> tuple[list[str], int] | None:
+    """The lines of the rows, each cell at its column's start, if need be on a line of its own; and the white space before and
+    between cells. None if that is more than ``room``."""
+    out, padding = [], 0
     for cells in grid:
         if len(cells) == 1 and 0 in cells:
             out += cells[0][0]
@@ -465,11 +479,17 @@ def _table(table: Node, seen: bool, page: Page) -> Iterator:
             line, reach = [], 0
             for column, (lines, _) in sorted(cells.items()):
                 if i < len(lines) and lines[i]:
-                    pad = starts[column] - reach if starts[column] > reach else 2 * bool(line)
+                    if line and starts[column] < reach + 2:
+                        out.append("".join(line))
+                        line, reach = [], 0
+                    pad = starts[column] - reach
+                    padding += pad
+                    if padding > room:
+                        return None
                     line.append(" " * pad + lines[i])
                     reach += pad + _width(lines[i])
             out.append("".join(line).rstrip(" "))
-    return out
+    return out, padding
 
 
 def _widths(grid: list[dict]) -> dict[int, int]:
@@ -482,7 +502,7 @@ def _widths(grid: list[dict]) -> dict[int, int]:
     wide: dict[tuple[int, int], int] = {}
     for cells in grid:
         for column, (lines, span) in cells.items():
-            most = max(map(_width, lines), default=0)
+            most = max((max(1, _width(line)) for line in lines if line), default=0)
             if span == 1:
                 widths[column] = max(widths.get(column, 0), most)
             elif any(c > column for c in cells):
