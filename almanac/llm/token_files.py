@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,20 +62,23 @@ class Encoder:
     the runs of ``RUNS``, the ids of a text are those of its words, apart at ASCII white space, in lower case (of A-Z, unless the text
     has marks that such a letter may be composed with, or special tokens), and those of a word are those of what is before its
     final signs and of the signs; so the library gets a run when it is met anew. With any other tokenizer, or without ``apart``, it
-    gets whole texts. What was met lives as long as the worker, up to a bound."""
+    gets whole texts. What was met lives as long as the worker, up to a bound; a batch asks for each of its distinct words once, and
+    a plain run goes to the library's model without the steps before it."""
 
     def __init__(self, told: str, apart: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         key = hash(told)
         if key not in _loaded:
             made = Tokenizer.from_str(told)
             made.no_truncation(), made.no_padding()
-            # for a word that is one run, composed and in lower case already: the same model without the steps before it
-            bare = json.dumps(json.loads(told) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}})
-            _loaded[key] = made, Tokenizer.from_str(bare), Known(self._parts, REMEMBERED), Known(self._run, REMEMBERED)
-        self.model, self.bare, self.words, self.runs = _loaded[key]
+            # the signs that stand for the bytes of a letter, as the library names them
+            level = ByteLevel(add_prefix_space=False, use_regex=False)
+            signs = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(256) if _PLAIN.fullmatch(chr(i).encode())}
+            _loaded[key] = made, made.model.tokenize, signs, Known(self._parts, REMEMBERED), Known(self._run, REMEMBERED)
+        self.model, self.merged, self.signs, self.words, self.runs = _loaded[key]
         rule = json.loads(told)
         steps = lambda kind, many: (rule.get(kind) or {}).get(many) or [rule.get(kind) or {}]
         runs = [x.get("pattern", {}).get("Regex") for x in steps("pre_tokenizer", "pretokenizers") if x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert")]
@@ -84,11 +88,14 @@ class Encoder:
         self.apart = apart and plain and bytes_next and runs == [RUNS] and {x.get("type") for x in steps("normalizer", "normalizers")} == {"NFC", "Replace", "Lowercase"}
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
-    def _ids(self, text: bytes, model) -> bytes:
-        return array(self.kind.char, model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+    def _ids(self, text: bytes) -> bytes:
+        return array(self.kind.char, self.model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def _run(self, word: bytes) -> bytes:
-        return self._ids(word, self.bare if _PLAIN.fullmatch(word) else self.model)
+        """A run's ids; one of plain letters is composed and in lower case already."""
+        if _PLAIN.fullmatch(word):
+            return array(self.kind.char, [t.id for t in self.merged(word.decode().translate(self.signs))]).tobytes()
+        return self._ids(word)
 
     def _parts(self, word: bytes) -> bytes:
         """A word's ids: those of what is before its final signs, and those of the signs."""
@@ -99,10 +106,18 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers."""
+        return self.column(texts).to_pylist()
+
+    def column(self, texts: list[bytes]) -> pa.Array:
+        """The same as an Arrow column."""
         if not self.apart:
-            return [self._ids(t, self.model) for t in texts]
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, (t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split())) for t in texts]
+            return pa.array(map(self._ids, texts), pa.binary())
+        lower = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        words = pc.ascii_split_whitespace(pa.array(lower, pa.binary()).view(pa.string()))
+        met = words.values.dictionary_encode()
+        distinct = met.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+        ids = pa.array(map(self.words.__getitem__, distinct), pa.binary()).take(met.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, ids), b"")
 
 
 def _bounds(docs: DataFrame, width: int) -> list[tuple]:
@@ -125,11 +140,11 @@ def encoded(docs: DataFrame, told: str, bounds: list[tuple], end: int, apart: bo
         last = np.array([end], encode.kind).tobytes()
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
-                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_numpy(zero_copy_only=False)]
                 keys = zip(*(part.column(c).to_pylist() for c in ("doc_id", "tie", "row")), strict=True)
                 pid = [bisect.bisect_left(bounds, (d is not None, d or 0, t, r)) for d, t, r in keys]
-                made = [x + last for x in encode(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int32()), part.column("doc_id"), part.column("tie"), part.column("row"), pa.array(made, pa.binary())], ["pid", "doc_id", "tie", "row", "ids"])
+                made = pc.binary_join_element_wise(encode.column(texts), last, b"")
+                yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int32()), part.column("doc_id"), part.column("tie"), part.column("row"), made], ["pid", "doc_id", "tie", "row", "ids"])
 
     return docs.select("doc_id", "tie", "row", "text").mapInArrow(run, "pid int, doc_id long, tie long, row long, ids binary")
 
